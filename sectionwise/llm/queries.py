@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .dedup import op3_near_dedup
 from .mixing import mixing_sql, op5_mixing
+from .packing import op8_packing
 from .quality import op4_quality, quality_sql
 
 QUERIES = {
+    "op3_near_dedup": op3_near_dedup,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
+    "op8_packing": op8_packing,
 }
 SQL = {
     "op4_quality": quality_sql(),
