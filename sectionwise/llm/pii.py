@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BROADCAST_ROWS, durable, fresh, read
 from .wordhash import buffers
@@ -358,7 +359,7 @@ def rewrite(docs: DataFrame, count_column: str | None = None, key: bytes = KEY,
         x = docs.join(lists, F.sha2(F.col("text").cast("string"), 256) == F.col("h_"), "left").drop("h_")
     (count,) = fresh(x, count_column or "__count")
     at = x.columns.index("text")
-    schema = x.schema.add(count, "int")
+    schema = T.StructType([*x.schema.fields, T.StructField(count, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, shared = _automaton(), held.value
