@@ -6,8 +6,9 @@
    that falls with their edit distance, also where only order differs.
 2. Documents of equal digest are exact copies; only the one of least doc_id goes on.
 3. Documents that agree in a vector share a bucket. Within a bucket the least doc_id leads: it is a candidate
-   with every member that agrees in MIN_AGREE vectors and whose length allows the
-   similarity. Members that agree in half of the vectors leave with their leader; the rest follow
+   with every member that agrees in MIN_AGREE vectors and whose length and bag of words allow the
+   similarity: texts that alike share 3/5 of all their labelled words, so a one-permutation sketch of
+   BAG bytes that lies three deviations under that rules a pair out. Members that agree in half of the vectors leave with their leader; the rest follow
    a new leader, until none is left. So copies cost one candidate each, however many they are, and
    no member is dropped: there is no cap on buckets, partners or candidates. A pair is put forward in the first bucket they share.
 4. Candidates are aligned word by word: the edit distance within the band that the threshold
@@ -31,13 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, read
+from .common import BROADCAST_ROWS, durable, fresh, read
 from .wordhash import buffers, chunks, mix64, word_hashes
 
 K, L, SKETCHES = 2, 3, 32
 MIN_AGREE = 2
 SIMILARITY = 0.75
 _MULT = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+BAG = 64
 _CELLS = 4_000_000
 
 
@@ -70,6 +72,33 @@ def labelled_kmers(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return g, mix64(g + occ * np.uint64(0xA24BAED4963EE407)), off
 
 
+def bag_sketch(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Rows x BAG bytes: of each row's words with number of occurrence the least in each bin; 255 where a bin is empty."""
+    row = np.repeat(np.arange(len(w) - 1), np.diff(w))
+    key = h ^ mix64(row.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(key)
+    new = np.ones(len(h), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    at = np.arange(len(h))
+    occ = np.empty(len(h), np.uint64)
+    occ[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    u = mix64(h + occ * np.uint64(0xA24BAED4963EE407))
+    cell = row * BAG + (u & np.uint64(BAG - 1)).astype(np.int64)
+    least = np.full((len(w) - 1) * BAG, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, cell, u >> np.uint64(6))
+    out = (mix64(least) % np.uint64(255)).astype(np.uint8)
+    out[least == np.iinfo(np.uint64).max] = 255
+    return out.reshape(-1, BAG)
+
+
+def bags_allow(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Whether the share of equal bins isn't three deviations under that of texts of just this similarity."""
+    used = ((a != 255) | (b != 255)).sum(1)
+    same = ((a == b) & (a != 255)).sum(1)
+    p = similarity / (2 - similarity)
+    return same >= p * used - 3 * np.sqrt(p * (1 - p) * used)
+
+
 def order_sketch(g: np.ndarray, u: np.ndarray) -> np.ndarray:
     """SKETCHES hashes (int32) of one document's L least k-mers in text order."""
     n = len(u)
@@ -97,12 +126,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             use = np.flatnonzero(n > 0)
             sk = [order_sketch(g[o[r] : o[r + 1]], u[o[r] : o[r + 1]]) for r in use]
             dig = [xxhash.xxh3_128_digest(h[w[r] : w[r + 1]].tobytes()) for r in use]
+            bags = bag_sketch(h, w)[use]
             flat = pa.array(np.concatenate(sk) if sk else np.zeros(0, np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sk) + 1, dtype=np.int32) * SKETCHES), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][use].astype(np.int64)), pa.array(n[use].astype(np.int32)), pa.array(dig, pa.binary()), lists], ["doc_id", "n", "digest", "sk"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][use].astype(np.int64)), pa.array(n[use].astype(np.int32)), pa.array(dig, pa.binary()), lists, pa.array([x.tobytes() for x in bags], pa.binary())], ["doc_id", "n", "digest", "sk", "bag"])
 
 
-def bucket_pairs(ids: np.ndarray, n: np.ndarray, sk: np.ndarray, band: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+def bucket_pairs(ids: np.ndarray, n: np.ndarray, sk: np.ndarray, bag: np.ndarray, band: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """Candidates of one bucket, ids ascending."""
     out = []
     pool = np.arange(len(ids))
@@ -113,17 +143,18 @@ def bucket_pairs(ids: np.ndarray, n: np.ndarray, sk: np.ndarray, band: int, simi
         fits = np.minimum(n[rest], n[a]) >= similarity * np.maximum(n[rest], n[a])
         few = np.minimum(n[rest], n[a]) <= L + K  # so short that vectors hold the whole text
         ok = ((c >= MIN_AGREE) | few) & fits & (same.argmax(1) == band)
+        ok[ok] = bags_allow(bag[rest[ok]], bag[a][None, :], similarity)
         out += [(int(ids[a]), int(x)) for x in ids[rest[ok]]]
         pool = rest[c * 2 < SKETCHES]
     return out
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows key, band, doc_id, n, sk, sorted by key and doc_id."""
+    """Rows key, band, doc_id, n, sk, bag, sorted by key and doc_id."""
 
     def emit(parts: list) -> Iterator[pa.RecordBatch]:
-        ids, n, sk, band = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        p = bucket_pairs(ids, n, sk, int(band[0]))
+        ids, n, sk, bag, band = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        p = bucket_pairs(ids, n, sk, bag, int(band[0]))
         if p:
             x = np.array(p, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
@@ -135,13 +166,14 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         key, band, ids, n = (b.column(c).to_numpy(zero_copy_only=False) for c in range(4))
         sk = b.column(4).flatten().to_numpy().reshape(-1, SKETCHES)
+        bag = np.frombuffer(b"".join(x.as_buffer() for x in b.column(5)), np.uint8).reshape(-1, BAG)
         cut = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             if held and key[i] != last:
                 yield from emit(held)
                 held = []
             last = key[i]
-            held.append((ids[i:j], n[i:j], sk[i:j], band[i:j]))
+            held.append((ids[i:j], n[i:j], sk[i:j], bag[i:j], band[i:j]))
     if held:
         yield from emit(held)
 
@@ -272,19 +304,24 @@ def components(edges: DataFrame) -> DataFrame:
 def near_edges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest of all documents with words; verified edges a, b, similarity between first copies)."""
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    signed = durable(x.mapInArrow(_sign, "doc_id long, n int, digest binary, sk array<int>"), "dedup-signed")
+    signed = durable(x.mapInArrow(_sign, "doc_id long, n int, digest binary, sk array<int>, bag binary"), "dedup-signed")
     first = durable(signed.groupBy("digest").agg(F.min("doc_id").alias("rep")), "dedup-first")
-    reps = signed.join(first.select(F.col("digest").alias("g_"), "rep"), (F.col("digest") == F.col("g_")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["doc_id", "digest"]).select("doc_id", "n", "sk")
+    reps = signed.join(first.select(F.col("digest").alias("g_"), "rep"), (F.col("digest") == F.col("g_")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["doc_id", "digest"]).select("doc_id", "n", "sk", "bag")
     reps = durable(reps, "dedup-reps")
     rows = reps.select("doc_id", F.posexplode("sk").alias("band", "v")).select("doc_id", F.col("band").cast("int").alias("band"), F.expr("shiftleft(cast(band as bigint), 32) | (cast(v as bigint) & 4294967295)").alias("key"))
     w = Window.partitionBy("key").orderBy("doc_id")
     met = rows.select("*", (F.lag("doc_id").over(w).isNotNull() | F.lead("doc_id").over(w).isNotNull()).alias("met")).where("met").select(F.col("doc_id").alias("d_"), "band", "key")
     met = durable(met, "dedup-buckets")
-    full = met.join(reps, F.col("d_") == F.col("doc_id")).select("key", "band", "doc_id", "n", "sk")
+    full = met.join(reps, F.col("d_") == F.col("doc_id")).select("key", "band", "doc_id", "n", "sk", "bag")
     pairs = full.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_pairs, "a long, b long").where("a <> b").distinct()
     pairs = durable(pairs, "dedup-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("d_")).distinct()
-    texts = durable(x.join(ids, F.col("doc_id") == F.col("d_"), "left_semi").mapInArrow(_word_bytes, "doc_id long, words binary"), "dedup-words")
+    ids = durable(ids, "dedup-ids")
+    if ids.count() <= BROADCAST_ROWS:
+        texts = x.join(F.broadcast(ids), F.col("doc_id") == F.col("d_"), "left_semi").mapInArrow(_word_bytes, "doc_id long, words binary")
+    else:  # words are moved rather than texts
+        texts = x.mapInArrow(_word_bytes, "doc_id long, words binary").join(ids, F.col("doc_id") == F.col("d_"), "left_semi")
+    texts = durable(texts, "dedup-words")
     left = texts.select(F.col("doc_id").alias("a_"), F.col("words").alias("aw"))
     right = texts.select(F.col("doc_id").alias("b_"), F.col("words").alias("bw"))
     joined = pairs.join(left, F.col("a") == F.col("a_")).select("a", "b", "aw").join(right, F.col("b") == F.col("b_")).select("a", "b", "aw", "bw")
