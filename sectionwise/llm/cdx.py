@@ -217,7 +217,7 @@ def lookup(folder: str, directory: DataFrame, queries: DataFrame, every: bool =
 
     asked = q.mapInArrow(ranges, "rng int, query_id long, key string").select("rng", F.lit(1).alias("kind"), "key", F.lit("").alias("file"), F.col("query_id").alias("start"), F.lit(0).cast("long").alias("length"), F.lit(0).alias("part"), F.lit(0).alias("block"))
     own = directory.select(F.col("part").alias("rng"), F.lit(0).alias("kind"), F.col("first_key").alias("key"), "file", "start", "length", "part", "block")
-    return asked.union(own).repartition("rng").sortWithinPartitions("rng", "kind", "key", "block", "start").mapInArrow(_search(folder, every), _FOUND)
+    return asked.union(own).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rng").sortWithinPartitions("rng", "kind", "key", "block", "start").mapInArrow(_search(folder, every), _FOUND)
 
 
 def op10_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -275,9 +275,9 @@ class Model:
         return out
 
 
-def fit(texts: list[str], y: np.ndarray, part: np.ndarray) -> Model:
+def fit(texts: pa.Array, y: np.ndarray, part: np.ndarray) -> Model:
     """part: 0 for stems, 1 for trees, 2 for calibration."""
-    data, off = buffers(pa.array(texts, pa.large_string()))
+    data, off = buffers(texts)
     y = y.astype(float)
 
     def pick(i: int) -> np.ndarray:
@@ -315,10 +315,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(ids, F.col("doc_id") == F.col("i_"))
     got = x.select("doc_id", "text", "y").toArrow()
     doc = got.column(0).to_numpy()
+    got = got.set_column(1, "text", got.column(1).cast(pa.large_string()))
     turn = (mix64(doc.astype(np.uint64)) % np.uint64(100)).astype(int)
     order = np.lexsort((turn, doc))
     part = np.digitize(turn, [40, 80])
-    return fit([got.column(1)[int(i)].as_py() for i in order], got.column(2).to_numpy()[order] > 0, part[order])
+    y = got.column(2).to_numpy()[order] > 0
+    texts = got.column(1).take(pa.array(order)).combine_chunks()
+    del got
+    return fit(texts, y, part[order])
 
 
 def _scorer(model: Model):
