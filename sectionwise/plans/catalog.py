@@ -1,6 +1,366 @@
-"""Every query by name, and its reference SQL."""
+"""Every query by name, and its reference SQL.
+
+The tables' texts have no headings, so the queries work on ``manual_lines``: documents cut into
+lines, some of which are turned into headings, page furniture and quantities by their position.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import layout, render, search, structure
+from ..sources import registry
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+_CASE = """CASE
+  WHEN pos % 6 = 0  THEN repeat('#', CAST(1 + (doc_id + pos) % 4 AS INT)) || ' ' || substr(line, 1, 40)
+  WHEN pos % 6 = 2  THEN '## ' || CAST(1 + doc_id % 9 AS STRING) || '.' || CAST(1 + pos % 12 AS STRING) || ' ' || substr(line, 1, 40)
+  WHEN pos % 6 = 4  THEN 'Section ' || CAST(1 + pos % 7 AS STRING) || ': ' || substr(line, 1, 40)
+  WHEN pos % 17 = 5 THEN 'Page ' || CAST(pos AS STRING) || ' of 99'
+  WHEN pos % 19 = 7 THEN substr(line, 1, 20) || ' ..... ' || CAST(pos AS STRING)
+  WHEN pos % 23 = 9 THEN 'Acme Confidential'
+  WHEN pos % 29 = 11 THEN '5 GHz'
+  WHEN pos % 31 = 13 THEN ''
+  ELSE line END"""
+_LINES = f"""lines AS (SELECT doc_id, pos AS line_no, CAST(1 + pos // 10 AS INT) AS page, {_CASE} AS line FROM (
+  SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)))"""
+_S = "regexp_replace(line, '^[\\s]+|[\\s]+$', '', 'g')"
+_NOISE = f"""(regexp_matches({_S}, '\\.{{3,}}\\s*[0-9]+$') OR (length({_S}) <= 70 AND regexp_matches({_S}, '(?i)\\b(confidential|proprietary|internal use only)\\b'))
+  OR regexp_matches({_S}, '(?i)^page\\s+[0-9]+(\\s+of\\s+[0-9]+)?\\s*$') OR lower({_S}) IN ('table of contents', 'contents') OR regexp_matches({_S}, '(?i)^copyright\\s*(©|\\(c\\))?.*all rights reserved\\.?$'))"""
+_BAD = "('updated', 'corrected', 'release', 'initial nda', 'revision history', 'document revision', 'change history', 'revision record')"
+
+
+def _valid(n: str, t: str) -> str:
+    return f"""(TRY_CAST(split_part({n}, '.', 1) AS HUGEINT) BETWEEN 1 AND 99 AND length({t}) <= 120 AND regexp_matches({t}, '[a-zA-Z0-9一-鿿]')
+  AND NOT regexp_matches({n} || ' ' || {t}, '(?i)^[0-9]+(\\.[0-9]+)?\\s*(MHz|GHz|W|V|A|mV|mA|s|ns|ms|us|bytes|KB|MB|GB|TB)$') AND NOT regexp_matches({n}, '^[^.]*\\.0[^.]+$')
+  AND NOT list_bool_or(list_transform([{_BAD[1:-1]}], lambda k: contains(lower({t}), k))))"""
+
+
+_TRIM = "'^[*_#\\s]+|[*_#\\s]+$'"
+_NUM = "'(?is)^(?:chapter|section|第)?\\s*([0-9]+(?:\\.[0-9]+)*)\\.?(?:[\\s:-]+(.*))?$'"
+_MD = "'^(#+)\\s*(?:\\*\\*\\s*)?(.*?)(?:\\s*\\*\\*)?$'"
+_HEADS = f"""{_LINES},
+kept AS (SELECT * FROM lines WHERE NOT {_NOISE}),
+h1 AS (SELECT *, {_S} AS s, length(regexp_extract({_S}, {_MD}, 1)) AS level FROM kept),
+h2 AS (SELECT *, CASE WHEN level > 0 THEN regexp_replace(regexp_extract(s, {_MD}, 2), {_TRIM}, '', 'g') ELSE s END AS t FROM h1),
+h3 AS (SELECT *, regexp_extract(t, {_NUM}, 1) AS explicit, regexp_replace(CASE WHEN regexp_extract(t, {_NUM}, 2) = '' THEN 'Overview' ELSE regexp_extract(t, {_NUM}, 2) END, {_TRIM}, '', 'g') AS given FROM h2),
+h4 AS (SELECT *, CASE WHEN explicit <> '' THEN given WHEN level > 0 THEN t END AS title FROM h3),
+events AS (SELECT doc_id, line_no, page, line, level, explicit, title, CASE WHEN explicit <> '' AND {_valid("explicit", "title")} THEN 'SYNC' WHEN explicit = '' AND level BETWEEN 1 AND 10 THEN 'GEN' ELSE 'NONE' END AS event,
+  row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS rn FROM h4)"""
+_FOLD = f"""{_HEADS},
+fold(doc_id, rn, slots) AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT), list_transform(range(10), lambda i: CAST(0 AS BIGINT)) FROM events
+  UNION ALL SELECT e.doc_id, e.rn, CASE e.event
+    WHEN 'SYNC' THEN list_transform(range(1, 11), lambda i: coalesce(CAST(string_split(e.explicit, '.')[i] AS BIGINT), 0))
+    WHEN 'GEN' THEN list_transform(range(1, 11), lambda i: CASE WHEN i < e.level THEN f.slots[i] WHEN i = e.level THEN f.slots[i] + 1 ELSE 0 END)
+    ELSE f.slots END FROM fold f JOIN events e ON e.doc_id = f.doc_id AND e.rn = f.rn + 1),
+numbered AS (SELECT e.*, CASE e.event WHEN 'SYNC' THEN e.explicit WHEN 'GEN' THEN array_to_string(list_transform(f.slots[1:e.level], lambda v: greatest(v, 1)), '.') END AS number FROM events e JOIN fold f USING (doc_id, rn)),
+marked AS (SELECT *, event = 'SYNC' OR (event = 'GEN' AND coalesce({_valid("number", "title")}, false)) AS is_heading FROM numbered)"""
+_CHUNKS = f"""{_FOLD},
+seg AS (SELECT *, CAST(sum(CAST(is_heading AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS INT) AS seg FROM marked),
+chunks AS (SELECT doc_id * 10000 + seg AS id, doc_id AS document_id, coalesce(max(number) FILTER (WHERE is_heading), '0') AS section_number, coalesce(max(title) FILTER (WHERE is_heading), 'Introduction') AS title,
+  regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT is_heading), ''), '^[\\s]+|[\\s]+$', '', 'g') AS content, coalesce(max(page) FILTER (WHERE is_heading), 1) AS page_start FROM seg GROUP BY doc_id, seg),
+docs AS (SELECT doc_id AS id, 'doc_' || doc_id || '.md' AS filename, strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(doc_id AS INT)), '%Y-%m-%d %H:%M:%S') AS upload_time FROM documents),
+tags AS (SELECT doc_id AS document_id, lang AS tag FROM documents WHERE doc_id % 10 <> 7 UNION SELECT doc_id, source FROM documents WHERE doc_id % 10 <> 7 AND doc_id % 3 = 0)"""
+
+
+def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def manual_lines(spark: SparkSession, d: str) -> DataFrame:
+    x = _read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return x.select(F.col("doc_id").alias("document_key"), F.col("pos").alias("line_no"), F.expr("cast(1 + pos div 10 as int)").alias("page"), F.expr(_CASE).alias("line"))
+
+
+def kept_lines(spark: SparkSession, d: str) -> DataFrame:
+    return manual_lines(spark, d).where(~structure.is_noise(F.col("line"), markdown=True))
+
+
+def stored_documents(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), F.expr("date_format(timestampadd(SECOND, doc_id, timestamp_ntz'2024-01-01 00:00:00'), 'yyyy-MM-dd HH:mm:ss')").alias("upload_time"))
+
+
+def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
+    x = structure.chunks(kept_lines(spark, d))
+    k = F.col("document_key")
+    x = x.select((k * 10000 + F.col("seg")).alias("id"), k.alias("document_id"), F.col("number").alias("section_number"), "title", "content", "page_start")
+    return x.withColumn("file_path", F.concat(F.lit("output/"), F.col("document_id").cast("string"), F.lit("/chunks/"), render.chunk_file(F.col("id"), F.col("section_number"), F.col("title"))))
+
+
+def stored_tags(spark: SparkSession, d: str) -> DataFrame:
+    x = _read(spark, d, "documents").where("doc_id % 10 <> 7")
+    return x.select(F.col("doc_id").alias("document_id"), F.explode(F.array_distinct(F.array_compact(F.array("lang", F.when(F.col("doc_id") % 3 == 0, F.col("source")))))).alias("tag"))
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+@query("line_scan", f"WITH {_LINES} SELECT * FROM lines")
+def _(s, d):
+    return manual_lines(s, d).withColumnRenamed("document_key", "doc_id")
+
+
+@query("noise_filter", f"WITH {_LINES} SELECT doc_id, line_no, line FROM lines WHERE NOT {_NOISE} AND {_S} <> '' AND NOT regexp_matches({_S}, '^[0-9]+$')")
+def _(s, d):
+    return manual_lines(s, d).where(~structure.is_noise(F.col("line"))).select(F.col("document_key").alias("doc_id"), "line_no", "line")
+
+
+@query("heading_events", f"WITH {_HEADS} SELECT doc_id, line_no, CAST(level AS INT) AS level, explicit, title, event FROM events")
+def _(s, d):
+    return structure.classify(kept_lines(s, d)).select(F.col("document_key").alias("doc_id"), "line_no", "level", "explicit", "title", "event")
+
+
+@query("section_numbers", f"WITH RECURSIVE {_FOLD} SELECT doc_id, line_no, number, title, is_heading FROM marked WHERE event <> 'NONE'")
+def _(s, d):
+    return structure.headings(kept_lines(s, d)).where("event <> 'NONE'").select(F.col("document_key").alias("doc_id"), "line_no", "number", "title", "is_heading")
+
+
+@query("chunk_fold", f"WITH RECURSIVE {_CHUNKS} SELECT * FROM chunks")
+def _(s, d):
+    return stored_chunks(s, d).drop("file_path")
+
+
+@query("chunk_counts", f"WITH RECURSIVE {_CHUNKS} SELECT document_id, count(*) AS chunk_count FROM chunks GROUP BY 1")
+def _(s, d):
+    return stored_chunks(s, d).groupBy("document_id").agg(F.count("*").alias("chunk_count"))
+
+
+@query("intro_chunks", "SELECT doc_id AS document_id, regexp_replace(text, '^[\\s]+|[\\s]+$', '', 'g') AS content FROM documents WHERE text IS NOT NULL")
+def _(s, d):
+    """The texts as they are have no heading: all of each is its introduction."""
+    x = _read(s, d, "documents").select(F.col("doc_id").alias("document_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("page", F.lit(1))
+    return structure.chunks(x).where("number = '0'").select(F.col("document_key").alias("document_id"), "content")
+
+
+_BARE = f"""{_LINES}, bare AS (SELECT doc_id, line_no, CASE WHEN line_no % 5 = 0 THEN CAST(line_no AS VARCHAR) || '.1' ELSE line END AS line, line_no % 5 = 0 OR regexp_matches({_S}, '^[0-9]+(\\.[0-9]+)*\\.?$') AS b FROM lines),
+around AS (SELECT *, lead(line) OVER w AS nl, lead(b) OVER w AS nb, lag(b) OVER w AS pb FROM bare WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))"""
+
+
+@query("split_heading_merge", f"WITH {_BARE} SELECT doc_id, line_no, CASE WHEN b AND nb = false THEN {_S} || ' ' || regexp_replace(nl, '^[\\s]+|[\\s]+$', '', 'g') ELSE line END AS line FROM around WHERE b OR coalesce(pb, false) = false")
+def _(s, d):
+    x = manual_lines(s, d).withColumn("line", F.when(F.col("line_no") % 5 == 0, F.concat(F.col("line_no").cast("string"), F.lit(".1"))).otherwise(F.col("line")))
+    return structure.merge_split_headings(x).select(F.col("document_key").alias("doc_id"), "line_no", "line")
+
+
+@query("style_promotion", f"""WITH {_LINES}, p AS (SELECT *, CASE line_no % 5 WHEN 0 THEN 'Heading ' || (1 + line_no % 3) WHEN 1 THEN 'Title' WHEN 2 THEN 'Subtitle' WHEN 3 THEN 'Normal' END AS style FROM lines)
+SELECT doc_id, line_no, CASE WHEN style LIKE 'Heading%' THEN repeat('#', CAST(1 + line_no % 3 AS BIGINT)) || ' ' WHEN style = 'Title' THEN '# ' WHEN style = 'Subtitle' THEN '## '
+ WHEN style IS NULL AND length(line) < 80 AND {_S} <> '' AND doc_id % 2 = 0 THEN '## ' ELSE '' END || line AS line FROM p""")
+def _(s, d):
+    n = F.col("line_no")
+    style = F.when(n % 5 == 0, F.concat(F.lit("Heading "), (1 + n % 3).cast("string"))).when(n % 5 == 1, "Title").when(n % 5 == 2, "Subtitle").when(n % 5 == 3, "Normal")
+    x = manual_lines(s, d).select("document_key", "line_no", F.col("line").alias("text"), style.alias("style"), F.array(F.struct(F.col("line").alias("text"), (F.col("document_key") % 2 == 0).alias("bold"))).alias("runs"))
+    return structure.promote_styles(x).select(F.col("document_key").alias("doc_id"), "line_no", "line")
+
+
+@query("doc_list", f"WITH RECURSIVE {_CHUNKS} SELECT id, filename, upload_time, row_number() OVER (ORDER BY upload_time DESC, id DESC) AS place FROM docs")
+def _(s, d):
+    # the place pins the order for comparison; a listing itself is an orderBy
+    return stored_documents(s, d).select("id", "filename", "upload_time", F.row_number().over(Window.orderBy(F.desc("upload_time"), F.desc("id"))).cast("long").alias("place"))
+
+
+_KEY = "list_transform(string_split(section_number, '.'), lambda p: lpad(p, 12, '0'))"
+
+
+@query("toc_natural_order", f"WITH RECURSIVE {_CHUNKS} SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY {_KEY}, id) AS place, id, section_number, title, page_start FROM chunks")
+def _(s, d):
+    return render.toc(stored_chunks(s, d)).withColumn("place", F.col("place").cast("long"))
+
+
+@query("get_chunk_join", f"WITH RECURSIVE {_CHUNKS} SELECT c.id, c.document_id, c.section_number, c.title, c.content, c.page_start, d.filename AS document_name, d.upload_time FROM chunks c JOIN docs d ON c.document_id = d.id")
+def _(s, d):
+    docs = stored_documents(s, d).select(F.col("id").alias("d_"), F.col("filename").alias("document_name"), "upload_time")
+    return stored_chunks(s, d).join(docs, F.col("document_id") == F.col("d_")).drop("d_", "file_path")
+
+
+@query("tags_of_doc", f"WITH RECURSIVE {_CHUNKS} SELECT document_id, string_agg(tag, ',' ORDER BY tag) AS tags FROM tags GROUP BY document_id")
+def _(s, d):
+    return stored_tags(s, d).groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("tags"))
+
+
+@query("untagged_docs", f"WITH RECURSIVE {_CHUNKS} SELECT id, filename FROM docs WHERE id NOT IN (SELECT document_id FROM tags)")
+def _(s, d):
+    return stored_documents(s, d).join(stored_tags(s, d), F.col("id") == F.col("document_id"), "left_anti").select("id", "filename")
+
+
+@query("catalog_page", f"""WITH RECURSIVE {_CHUNKS}, x AS (SELECT d.*, t.tag, CAST(t.tag IS NULL AS INT) AS u FROM docs d LEFT JOIN tags t ON d.id = t.document_id)
+SELECT CAST(row_number() OVER (ORDER BY u, tag) AS INT) AS place, '## ' || coalesce(tag, 'No tag') AS heading, string_agg('- [' || filename || ' (ID: ' || id || ')](' || id || '/index.md) - *added: ' || upload_time || '*' || chr(10), '' ORDER BY upload_time DESC, id DESC) AS body FROM x GROUP BY u, tag""")
+def _(s, d):
+    return render.catalog_page(stored_documents(s, d), stored_tags(s, d))
+
+
+_TOK = "list_filter(regexp_split_to_array(strip_accents(lower({})), '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+'), lambda t: t <> '')"
+_FIND = f"""{_CHUNKS}, tok AS (SELECT c.*, d.filename AS document_name, d.upload_time, {_TOK.format("title")} AS tt, {_TOK.format("content")} AS ct FROM chunks c JOIN docs d ON c.document_id = d.id)"""
+
+
+def _has(w: str) -> str:
+    return f"(list_contains(tt, '{w}') OR list_contains(ct, '{w}'))"
+
+
+def _hits(s, d, q, **how) -> DataFrame:
+    return search.search(stored_chunks(s, d), stored_documents(s, d), q, **how).select("id", "document_id", "section_number", "title", "page_start", "document_name")
+
+
+_COLS = "id, document_id, section_number, title, page_start, document_name"
+
+
+@query("search_and", f"WITH RECURSIVE {_FIND} SELECT {_COLS} FROM tok WHERE {_has('the')} AND {_has('erly')}")
+def _(s, d):
+    return _hits(s, d, "the Erly", limit=2_000_000_000)
+
+
+@query("search_scoped", f"WITH RECURSIVE {_FIND} SELECT {_COLS} FROM tok WHERE {_has('the')} AND document_id = 28")
+def _(s, d):
+    return _hits(s, d, "the", document_id=28)
+
+
+@query("search_phrase", f"WITH RECURSIVE {_FIND} SELECT {_COLS} FROM tok WHERE contains(' ' || array_to_string(tt, ' ') || ' ', ' of the ') OR contains(' ' || array_to_string(ct, ' ') || ' ', ' of the ')")
+def _(s, d):
+    return _hits(s, d, "of_the", limit=2_000_000_000)
+
+
+@query("search_like", f"WITH RECURSIVE {_FIND} SELECT {_COLS} FROM tok WHERE title ILIKE '%worthless%' OR content ILIKE '%worthless%'")
+def _(s, d):
+    return _hits(s, d, "worthless", mode="like", limit=2_000_000_000)
+
+
+@query("search_topk", f"WITH RECURSIVE {_FIND} SELECT {_COLS} FROM tok WHERE {_has('the')} ORDER BY upload_time DESC, section_number, id LIMIT 100")
+def _(s, d):
+    return _hits(s, d, "the")
+
+
+@query("search_postings", f"WITH RECURSIVE {_FIND} SELECT id AS chunk_id, document_id FROM tok WHERE {_has('the')} AND {_has('and')}")
+def _(s, d):
+    return search.search_postings(search.postings(stored_chunks(s, d)), "the and")
+
+
+@query("delete_cascade", f"WITH RECURSIVE {_CHUNKS} SELECT c.id, c.document_id FROM chunks c WHERE document_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr')")
+def _(s, d):
+    gone = _read(s, d, "documents").where("lang = 'fr'").select(F.col("doc_id").alias("g_"))
+    return stored_chunks(s, d).join(gone, F.col("document_id") == F.col("g_"), "left_anti").select("id", "document_id")
+
+
+@query("replace_by_name", f"WITH RECURSIVE {_CHUNKS} SELECT CASE WHEN lang = 'de' THEN doc_id + 1000000000 ELSE doc_id END AS id, 'doc_' || doc_id || '.md' AS filename FROM documents")
+def _(s, d):
+    docs = stored_documents(s, d).select("id", "filename")
+    again = _read(s, d, "documents").where("lang = 'de'").select(F.col("doc_id").alias("g_"))
+    new = docs.join(again, F.col("id") == F.col("g_"), "left_semi").select((F.col("id") + 1000000000).alias("id"), "filename")
+    return docs.join(new.select("filename"), "filename", "left_anti").select("id", "filename").unionByName(new)
+
+
+_FILE = "regexp_replace(translate({0}, ' *#\\/?:\"<>|', '_'), '[\\x00-\\x1f]', '', 'g')"
+_SAFE = "CASE WHEN strlen({0}) > 180 THEN substr({0}, 1, 45) ELSE {0} END"
+
+
+def _sql_file() -> str:
+    return "id || '_' || " + _SAFE.format(_FILE.format("section_number")) + " || '_' || " + _SAFE.format(_FILE.format("title")) + " || '.md'"
+
+
+@query("file_paths", f"WITH RECURSIVE {_CHUNKS} SELECT id, 'output/' || document_id || '/chunks/' || {_sql_file()} AS file_path FROM chunks")
+def _(s, d):
+    return stored_chunks(s, d).select("id", "file_path")
+
+
+@query("toc_json_rows", f"""WITH RECURSIVE {_CHUNKS} SELECT document_id, to_json(list(struct_pack(id := id, section_number := section_number, title := title, file := {_sql_file()}, page_start := page_start) ORDER BY id)) AS toc FROM chunks WHERE section_number <> '0' GROUP BY document_id""")
+def _(s, d):
+    return render.toc_json(stored_chunks(s, d))
+
+
+@query("md_render", f"""WITH RECURSIVE {_CHUNKS} SELECT c.id, c.document_id, {_sql_file().replace("id ||", "c.id ||", 1)} AS file,
+ '# ' || section_number || ' ' || title || chr(10) || chr(10) || 'metadata:' || chr(10) || '- source file: ' || filename || chr(10) || '- section number: ' || section_number || chr(10) || '- page start: ' || page_start || chr(10) || chr(10) || 'content:' || chr(10) || content AS markdown FROM chunks c JOIN docs d ON c.document_id = d.id""")
+def _(s, d):
+    return render.chunk_markdown(stored_chunks(s, d), stored_documents(s, d))
+
+
+@query("index_page", f"""WITH RECURSIVE {_CHUNKS}, o AS (SELECT *, {_sql_file()} AS file, row_number() OVER (PARTITION BY document_id ORDER BY {_KEY}, id) AS k, count(*) OVER (PARTITION BY document_id) AS n FROM chunks WHERE section_number <> '0')
+SELECT document_id, '# Sections' || chr(10) || chr(10) || '## Files' || chr(10) || chr(10) || '```text' || chr(10) || string_agg(CASE WHEN k = n THEN '└── ' ELSE '├── ' END || file || chr(10), '' ORDER BY k) || '```' || chr(10) || chr(10) || '## Contents by section' || chr(10) || chr(10)
+ || string_agg(repeat('  ', len(string_split(section_number, '.')) - 1) || '- [' || section_number || ' ' || title || '](chunks/' || file || ')' || chr(10), '' ORDER BY k) AS page FROM o GROUP BY document_id""")
+def _(s, d):
+    return render.index_page(stored_chunks(s, d))
+
+
+# Geometry is made of integer keys.
+_RECTS = """rects AS (SELECT CAST(l_orderkey // 40 AS VARCHAR) AS document_key, CAST(l_linenumber AS INT) AS page, l_orderkey * 10 + l_linenumber AS rid,
+  CAST(l_partkey * 37 % 560 AS DOUBLE) AS x0, CAST(l_suppkey * 53 % 800 AS DOUBLE) AS y0, CAST(l_partkey * 37 % 560 + l_partkey % 60 AS DOUBLE) AS x1, CAST(l_suppkey * 53 % 800 + l_orderkey % 45 AS DOUBLE) AS y1, CAST(600 AS DOUBLE) AS page_width, CAST(840 AS DOUBLE) AS page_height FROM lineitem),
+drawn AS (SELECT * FROM rects WHERE NOT (y1 < 45 OR y0 > page_height - 45) AND NOT (x1 - x0 > 0.85 * page_width AND y1 - y0 < 5) AND NOT (x1 - x0 < 5 AND y1 - y0 < 5))"""
+
+
+def _rects(s, d) -> DataFrame:
+    key, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    x0, y0 = (part * 37 % 560).cast("double"), (supp * 53 % 800).cast("double")
+    x = _read(s, d, "lineitem")
+    return x.select(F.expr("cast(l_orderkey div 40 as string)").alias("document_key"), F.col("l_linenumber").cast("int").alias("page"), (key * 10 + F.col("l_linenumber")).alias("rid"), x0.alias("x0"), y0.alias("y0"), (part * 37 % 560 + part % 60).cast("double").alias("x1"), (supp * 53 % 800 + key % 45).cast("double").alias("y1"), F.lit(600.0).alias("page_width"), F.lit(840.0).alias("page_height"))
+
+
+@query("rect_filter", f"WITH {_RECTS} SELECT document_key, page, rid, x0, y0, x1, y1 FROM drawn")
+def _(s, d):
+    return layout.drawings(_rects(s, d)).select("document_key", "page", "rid", "x0", "y0", "x1", "y1")
+
+
+@query("rect_clusters", f"""WITH RECURSIVE {_RECTS}, ids AS (SELECT *, row_number() OVER () AS i FROM drawn),
+near AS (SELECT a.i AS a, b.i AS b FROM ids a JOIN ids b ON a.document_key = b.document_key AND a.page = b.page AND greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 25 AND greatest(a.y0, b.y0) - least(a.y1, b.y1) <= 25),
+reach(a, b) AS (SELECT i, i FROM ids UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b),
+comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT document_key, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM ids JOIN comp ON i = a GROUP BY document_key, page, c""")
+def _(s, d):
+    return layout.clusters(layout.drawings(_rects(s, d)))
+
+
+@query("word_containment", f"""WITH {_RECTS} SELECT b.document_key, b.page, b.rid AS box, w.rid AS text FROM (SELECT * REPLACE (least(x1, page_width) AS x1, least(y1, page_height) AS y1) FROM drawn WHERE x1 - x0 >= 30 AND y1 - y0 >= 30) b JOIN drawn w ON b.document_key = w.document_key AND b.page = w.page
+WHERE (w.x1 - w.x0) * (w.y1 - w.y0) > 0 AND least(b.x1, w.x1) > greatest(b.x0, w.x0) AND least(b.y1, w.y1) > greatest(b.y0, w.y0) AND (least(b.x1, w.x1) - greatest(b.x0, w.x0)) * (least(b.y1, w.y1) - greatest(b.y0, w.y0)) >= 0.8 * (w.x1 - w.x0) * (w.y1 - w.y0)""")
+def _(s, d):
+    x = layout.drawings(_rects(s, d))
+    return layout.contained_words(layout.clip(x).withColumnRenamed("rid", "box"), x.withColumnRenamed("rid", "text")).drop("bbox")
+
+
+@query("caption_pick", f"""WITH {_RECTS}, boxes AS (SELECT * FROM drawn WHERE x1 - x0 >= 30 AND y1 - y0 >= 30), blocks AS (SELECT *, CASE WHEN rid % 3 = 0 THEN 'Figure ' || rid ELSE 'Text ' || rid END AS t FROM drawn)
+SELECT b.document_key, b.page, b.rid AS box, coalesce(arg_min(t.t, t.rid), 'Figure Page ' || b.page || ' Graphics ' || b.rid) AS caption FROM boxes b LEFT JOIN blocks t ON b.document_key = t.document_key AND b.page = t.page AND t.t LIKE 'Figure%' AND t.rid % 2 = 0 AND (t.y0 - b.y1 BETWEEN 0 AND 35 OR b.y0 - t.y1 BETWEEN 0 AND 35) GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY b.document_key, b.page, b.rid"))
+def _(s, d):
+    x = layout.drawings(_rects(s, d))
+    rid = F.col("rid")
+    blocks = x.withColumns({"block_no": rid, "block_type": (rid % 2).cast("int"), "text": F.concat(F.when(rid % 3 == 0, "Figure ").otherwise("Text "), rid.cast("string"))})
+    return layout.captions(layout.clip(x).withColumnRenamed("rid", "box"), blocks)
+
+
+_MARKS = f"""{_LINES}, b AS (SELECT doc_id, line_no AS ord, lower(regexp_replace(substr(line, 1, 12), '^[#*\\s]+|[*\\s]+$', '', 'g')) AS bt, page AS bp FROM lines WHERE line_no % 6 = 0),
+l AS (SELECT doc_id, line_no, line, CAST((page - 1) // 3 AS INT) AS batch, lower(trim(regexp_replace(line, '^[#*\\s]+|[*\\s]+$', '', 'g'))) AS h, line LIKE '#%' AS m FROM lines),
+hit AS (SELECT doc_id, line_no, arg_max(bp, k) AS bp FROM (SELECT l.doc_id, l.line_no, b.bp, length(b.bt) * 100000 - b.ord AS k FROM l JOIN b ON l.doc_id = b.doc_id AND l.m AND l.h <> '' AND (contains(l.h, b.bt) OR contains(b.bt, l.h))) GROUP BY doc_id, line_no)"""
+
+
+@query("page_resolution", f"""WITH {_MARKS} SELECT l.doc_id, l.line_no, CAST(coalesce(last_value(CASE WHEN hit.bp > l.batch * 3 AND hit.bp <= l.batch * 3 + 3 THEN hit.bp END IGNORE NULLS) OVER (PARTITION BY l.doc_id, l.batch ORDER BY l.line_no ROWS UNBOUNDED PRECEDING), l.batch * 3 + 1) AS INT) AS page FROM l LEFT JOIN hit USING (doc_id, line_no)""")
+def _(s, d):
+    x = manual_lines(s, d)
+    title = F.lower(F.regexp_replace(F.substring("line", 1, 12), "^[#*\\s]+|[*\\s]+$", ""))
+    marks = x.where("line_no % 6 = 0").select("document_key", F.col("line_no").alias("ord"), title.alias("title"), "page")
+    lines = x.select("document_key", "line_no", F.expr("cast((page - 1) div 3 as int)").alias("batch"), "line", F.col("line").startswith("#").alias("is_marked"))
+    return layout.resolve_pages(lines, marks, 3).select(F.col("document_key").alias("doc_id"), "line_no", "page")
+
+
+@query("image_refs", """WITH c AS (SELECT doc_id AS id, unnest(range(1 + doc_id % 3)) AS k FROM documents) SELECT id, CAST(k + 1 AS INT) AS seq, 'tmp/' || id || '_' || k || '.png' AS temp_path, 'Fig ' || k AS caption FROM c""")
+def _(s, d):
+    one = lambda k: F.concat(F.lit('<!-- IMAGE: {"temp_path": "tmp/'), F.col("doc_id").cast("string"), F.lit("_"), k.cast("string"), F.lit('.png", "caption": "Fig '), k.cast("string"), F.lit('", "contained_text": []} -->'))
+    x = _read(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("a\n"), F.array_join(F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int")), one), "\nb\n")).alias("content"))
+    return layout.image_refs(x).select("id", "seq", "temp_path", "caption")
+
+
+@query("anchor_codec", "SELECT doc_id, rtrim(translate(to_base64(encode(substr(text, 1, 50))), '+/', '-_'), '=') AS anchor, substr(text, 1, 50) AS back FROM documents")
+def _(s, d):
+    x = _read(s, d, "documents").select("doc_id", T.anchor_encode(F.substring("text", 1, 50)).alias("anchor"))
+    return x.withColumn("back", T.anchor_decode(F.col("anchor")))
+
+
+@query("html_lines")
+def _(s, d):
+    return registry.html_lines(_read(s, d, "pages"))
+
+

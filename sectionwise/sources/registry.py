@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 Reader = Callable[[bytes], Iterator[tuple[int, str]]]
 _READERS: dict[str, Reader] = {}
 LINES = "document_key string, line_no int, page int, line string"
-_BREAKS = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
+_BREAKS = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 
 
 def register(suffix: str) -> Callable[[Reader], Reader]:
