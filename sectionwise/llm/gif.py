@@ -90,7 +90,7 @@ def lzw(data: bytes, min_size: int, n_pixels: int) -> tuple[np.ndarray, str | No
     word = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16
     bits, at, out, got, error, ended = 8 * len(data), 0, [], 0, None, False
     while not ended and got < n_pixels and error is None:
-        n = min((bits - at) // (min_size + 1), 4200)
+        n = max(1, min((bits - at) // (min_size + 1), 4200))
         while True:
             off, width = _schedule(min_size, n)
             fits = int(np.searchsorted(off + width, bits - at, side="right"))
