@@ -5,9 +5,9 @@
    hash are sampled and kept in text order. Two documents agree in a vector with a probability
    that falls with their edit distance, also where only order differs.
 2. Documents of equal digest are exact copies; only the one of least doc_id goes on.
-3. Documents that agree in a vector share a bucket. Within a bucket the least doc_id leads: it is a candidate
-   with every member that agrees in MIN_AGREE vectors and whose length and bag of words allow the
-   similarity: texts that alike share 3/5 of all their labelled words, so a one-permutation sketch of
+3. Documents that agree in a vector share a bucket; texts of up to SHORT words also do by the k-mers that any text
+   similar to them must share one of, so that none of their pairs is missed. Within a bucket the least doc_id leads: it is a candidate
+   with every member whose length and bag of words allow the similarity: texts that alike share 3/5 of all their labelled words, so a one-permutation sketch of
    BAG bytes that lies three deviations under that rules a pair out. Members that agree in half of the vectors leave with their leader; the rest follow
    a new leader, until none is left. So copies cost one candidate each, however many they are, and
    no member is dropped: there is no cap on buckets, partners or candidates. A pair is put forward in the first bucket they share.
@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, durable, fresh, read
 from .wordhash import buffers, chunks, mix64, word_hashes
 
-K, L, SKETCHES = 2, 3, 32
-MIN_AGREE = 2
+K, L, SKETCHES = 2, 3, 64
 SIMILARITY = 0.75
 _MULT = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 BAG = 64
+#: Texts of up to so many words are paired exactly; the vectors are too few for them.
+SHORT = 26
 _CELLS = 4_000_000
 
 
@@ -99,12 +100,31 @@ def bags_allow(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) ->
     return same >= p * used - 3 * np.sqrt(p * (1 - p) * used)
 
 
+def pair_allowed(na: int, nb: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """bags_allow for longer texts. An edit changes two bins at most: texts of up to SHORT words are ruled out by that alone, which misses none."""
+    most = np.maximum(na, nb)
+    return np.where(most <= SHORT, (a != b).sum(1) <= 2 * ((1 - similarity) * most + 1e-9).astype(np.int64), bags_allow(a, b, similarity))
+
+
+def short_grams(u: np.ndarray, n: int) -> np.ndarray:
+    """Keys of a text of n words: two texts of up to SHORT words and at least SIMILARITY share one.
+
+    An edit changes K k-mers at most, so similar texts share a number of labelled k-mers; all but so many, less one, of
+    each text's least hashes must then have one in common.
+    """
+    if not K <= n <= SHORT:
+        return np.zeros(0, np.int64)
+    shared = min(m - K + 1 - K * int((1 - SIMILARITY) * m + 1e-9) for m in range(n, int(n / SIMILARITY + 1e-9) + 1))
+    least = np.sort(u)[: len(u) - max(1, shared) + 1]
+    return ((least >> np.uint64(2)) | np.uint64(1 << 62)).view(np.int64)
+
+
 def order_sketch(g: np.ndarray, u: np.ndarray) -> np.ndarray:
     """SKETCHES hashes (int32) of one document's L least k-mers in text order."""
     n = len(u)
     if n <= L:
         at = np.broadcast_to(np.arange(n), (SKETCHES, n))
-    elif n <= 200_000:
+    elif n <= 100_000:
         at = np.argpartition(_MULT[:, None] * u[None, :], L - 1, axis=1)[:, :L]
     else:
         at = np.stack([np.argpartition(m * u, L - 1)[:L] for m in _MULT])
@@ -127,9 +147,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sk = [order_sketch(g[o[r] : o[r + 1]], u[o[r] : o[r + 1]]) for r in use]
             dig = [xxhash.xxh3_128_digest(h[w[r] : w[r + 1]].tobytes()) for r in use]
             bags = bag_sketch(h, w)[use]
+            grams = [short_grams(u[o[r] : o[r + 1]], int(n[r])) for r in use]
             flat = pa.array(np.concatenate(sk) if sk else np.zeros(0, np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sk) + 1, dtype=np.int32) * SKETCHES), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][use].astype(np.int64)), pa.array(n[use].astype(np.int32)), pa.array(dig, pa.binary()), lists, pa.array([x.tobytes() for x in bags], pa.binary())], ["doc_id", "n", "digest", "sk", "bag"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][use].astype(np.int64)), pa.array(n[use].astype(np.int32)), pa.array(dig, pa.binary()), lists, pa.array([x.tobytes() for x in bags], pa.binary()), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "sk", "bag", "grams"])
 
 
 def bucket_pairs(ids: np.ndarray, n: np.ndarray, sk: np.ndarray, bag: np.ndarray, band: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -141,9 +162,8 @@ def bucket_pairs(ids: np.ndarray, n: np.ndarray, sk: np.ndarray, bag: np.ndarray
         same = sk[rest] == sk[a]
         c = same.sum(1)
         fits = np.minimum(n[rest], n[a]) >= similarity * np.maximum(n[rest], n[a])
-        few = np.minimum(n[rest], n[a]) <= L + K  # so short that vectors hold the whole text
-        ok = ((c >= MIN_AGREE) | few) & fits & (same.argmax(1) == band)
-        ok[ok] = bags_allow(bag[rest[ok]], bag[a][None, :], similarity)
+        ok = fits & ((band == SKETCHES) | (same.argmax(1) == band))
+        ok[ok] = pair_allowed(n[a], n[rest[ok]], bag[rest[ok]], bag[a][None, :], similarity)
         out += [(int(ids[a]), int(x)) for x in ids[rest[ok]]]
         pool = rest[c * 2 < SKETCHES]
     return out
@@ -304,11 +324,12 @@ def components(edges: DataFrame) -> DataFrame:
 def near_edges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, digest of all documents with words; verified edges a, b, similarity between first copies)."""
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    signed = durable(x.mapInArrow(_sign, "doc_id long, n int, digest binary, sk array<int>, bag binary"), "dedup-signed")
+    signed = durable(x.mapInArrow(_sign, "doc_id long, n int, digest binary, sk array<int>, bag binary, grams array<bigint>"), "dedup-signed")
     first = durable(signed.groupBy("digest").agg(F.min("doc_id").alias("rep")), "dedup-first")
-    reps = signed.join(first.select(F.col("digest").alias("g_"), "rep"), (F.col("digest") == F.col("g_")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["doc_id", "digest"]).select("doc_id", "n", "sk", "bag")
+    reps = signed.join(first.select(F.col("digest").alias("g_"), "rep"), (F.col("digest") == F.col("g_")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["doc_id", "digest"]).select("doc_id", "n", "sk", "bag", "grams")
     reps = durable(reps, "dedup-reps")
     rows = reps.select("doc_id", F.posexplode("sk").alias("band", "v")).select("doc_id", F.col("band").cast("int").alias("band"), F.expr("shiftleft(cast(band as bigint), 32) | (cast(v as bigint) & 4294967295)").alias("key"))
+    rows = rows.union(reps.select("doc_id", F.lit(SKETCHES).alias("band"), F.explode("grams").alias("key")))
     w = Window.partitionBy("key").orderBy("doc_id")
     met = rows.select("*", (F.lag("doc_id").over(w).isNotNull() | F.lead("doc_id").over(w).isNotNull()).alias("met")).where("met").select(F.col("doc_id").alias("d_"), "band", "key")
     met = durable(met, "dedup-buckets")

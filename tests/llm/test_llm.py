@@ -111,6 +111,45 @@ def test_near_dedup_groups_and_recall(spark):
     assert dedup.keep_one(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [4, 5, 8, 12, 20, 27, 60, 200])
+def test_near_dedup_recall_by_length(spark, n):
+    rng = np.random.default_rng(n)
+    texts, want = [], []
+    for lost in range(int(np.ceil(0.15 * n)), int(0.25 * n) + 1):
+        for _ in range(60 if n < 60 else 20):
+            b = [f"v{x}" for x in rng.integers(0, 20_000, n)]
+            c = list(b)
+            for k in rng.choice(n, lost, replace=False):
+                c[k] = f"x{rng.integers(0, 20_000)}"
+            if 0.75 <= 1 - brute_edit(b, c) / n <= 0.85:
+                want.append((len(texts), len(texts) + 1))
+                texts += [" ".join(b), " ".join(c)]
+    got = {(r["a"], r["b"]) for r in dedup.near_edges(docs(spark, texts))[1].collect()}
+    assert len(want) >= 40 and sum(p in got for p in want) >= (1 if n <= 26 else 0.9) * len(want)
+
+
+def test_near_dedup_short_texts_against_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(25):
+        b = [f"v{x}" for x in rng.integers(0, 30, rng.integers(2, 27))]
+        texts.append(b)
+        for _ in range(4):
+            c = list(b)
+            for _ in range(rng.integers(1, 5)):
+                k = int(rng.integers(0, len(c)))
+                c[k : k + int(rng.integers(0, 2))] = [f"v{x}" for x in rng.integers(0, 30, rng.integers(0, 2))]
+                c = c or ["v0"]
+            texts.append(c)
+    names = [" ".join(t) for t in texts]
+    d = docs(spark, names)
+    g = {r["doc_id"]: r["group_id"] for r in dedup.groups(d).collect()}
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if 1 - brute_edit(a, texts[j]) / max(len(a), len(texts[j])) >= 0.75:
+                assert g.get(i, i) == g.get(j, j)
+
+
 def test_pii(spark):
     t = 'Mrs. Anna Schneider wrote a.b1@mail.example.com, +1 (771) 555-1655 and 771-555-1655, card 4111 1111 1111 1111, ip 10.1.2.3, token = "11acdfb36bb72224148e6160f674b4be45601234". Schneider left. DE89370400440532013000'
     d = docs(spark, [t, t, "nothing 4.0. here 9807915762804491", "A.B1@MAIL.EXAMPLE.COM"])
