@@ -8,9 +8,10 @@
 3. Documents that agree in a vector share a bucket; texts of up to SHORT words also do by the k-mers that any text
    similar to them must share one of, so that none of their pairs is missed. Within a bucket the least doc_id leads: it is a candidate
    with every member whose length and bag of words allow the similarity: texts that alike share 3/5 of all their labelled words, so a one-permutation sketch of
-   BAG bytes that lies three deviations under that rules a pair out. Members that agree in half of the vectors leave with their leader; the rest follow
-   a new leader, until none is left. So copies cost one candidate each, however many they are, and
-   no member is dropped: there is no cap on buckets, partners or candidates. A pair is put forward in the first bucket they share.
+   BAG bytes that lies three deviations under that rules a pair out. Those members leave with their leader; the rest
+   follow a new leader, until none is left. So copies cost one candidate each, however many they are.
+   After alignment every bucket is gone through again: all its pairs that verified edges have not joined yet are
+   candidates too. So no member is dropped: there is no cap on buckets, partners or candidates.
 4. Candidates are aligned word by word: the edit distance within the band that the threshold
    allows (furthest-reaching points for narrow bands, rows of the band for wide ones).
    Similarity is 1 - distance / longer length; SIMILARITY or more is an edge.
@@ -24,7 +25,7 @@ columns pass through ``keep_one``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -153,49 +154,62 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][use].astype(np.int64)), pa.array(n[use].astype(np.int32)), pa.array(dig, pa.binary()), lists, pa.array([x.tobytes() for x in bags], pa.binary()), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "sk", "bag", "grams"])
 
 
-def bucket_pairs(ids: np.ndarray, n: np.ndarray, sk: np.ndarray, bag: np.ndarray, band: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Candidates of one bucket, ids ascending."""
+def _likely(a: int, rest: np.ndarray, n: np.ndarray, bag: np.ndarray, similarity: float) -> np.ndarray:
+    """Those of ``rest`` whose length and bag of words allow the similarity to ``a``."""
+    rest = rest[np.minimum(n[rest], n[a]) >= similarity * np.maximum(n[rest], n[a])]
+    return rest[pair_allowed(n[a], n[rest], bag[rest], bag[a][None, :], similarity)]
+
+
+def leader_pairs(ids: np.ndarray, n: np.ndarray, bag: np.ndarray, group: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Candidates of one bucket, ids ascending: each leader with the members that leave with it."""
     out = []
     pool = np.arange(len(ids))
     while len(pool) > 1:
         a, rest = pool[0], pool[1:]
-        same = sk[rest] == sk[a]
-        c = same.sum(1)
-        fits = np.minimum(n[rest], n[a]) >= similarity * np.maximum(n[rest], n[a])
-        ok = fits & ((band == SKETCHES) | (same.argmax(1) == band))
-        ok[ok] = pair_allowed(n[a], n[rest[ok]], bag[rest[ok]], bag[a][None, :], similarity)
-        out += [(int(ids[a]), int(x)) for x in ids[rest[ok]]]
-        pool = rest[c * 2 < SKETCHES]
+        near = _likely(a, rest, n, bag, similarity)
+        out += [(int(ids[a]), int(x)) for x in ids[near]]
+        pool = np.setdiff1d(rest, near, assume_unique=True)
     return out
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows key, band, doc_id, n, sk, bag, sorted by key and doc_id."""
+def open_pairs(ids: np.ndarray, n: np.ndarray, bag: np.ndarray, group: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Candidates of one bucket, ids ascending: all pairs that are not in one group yet."""
+    out = []
+    at = np.arange(len(ids))
+    for a in at[:-1]:
+        rest = at[a + 1 :]
+        out += [(int(ids[a]), int(x)) for x in ids[_likely(a, rest[group[rest] != group[a]], n, bag, similarity)]]
+    return out
 
-    def emit(parts: list) -> Iterator[pa.RecordBatch]:
-        ids, n, sk, bag, band = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        p = bucket_pairs(ids, n, sk, bag, int(band[0]))
-        if p:
-            x = np.array(p, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
-    held: list = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key, band, ids, n = (b.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-        sk = b.column(4).flatten().to_numpy().reshape(-1, SKETCHES)
-        bag = np.frombuffer(b"".join(x.as_buffer() for x in b.column(5)), np.uint8).reshape(-1, BAG)
-        cut = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-        for i, j in zip(cut[:-1], cut[1:], strict=True):
-            if held and key[i] != last:
-                yield from emit(held)
-                held = []
-            last = key[i]
-            held.append((ids[i:j], n[i:j], sk[i:j], bag[i:j], band[i:j]))
-    if held:
-        yield from emit(held)
+def _pairs(rule: Callable):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows key, doc_id, n, bag, group, sorted by key and doc_id."""
+
+        def emit(parts: list) -> Iterator[pa.RecordBatch]:
+            p = rule(*(np.concatenate([p[i] for p in parts]) for i in range(4)))
+            if p:
+                x = np.array(p, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+        held: list = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, ids, n, group = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 4))
+            bag = np.frombuffer(b"".join(x.as_buffer() for x in b.column(3)), np.uint8).reshape(-1, BAG)
+            cut = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                if held and key[i] != last:
+                    yield from emit(held)
+                    held = []
+                last = key[i]
+                held.append((ids[i:j], n[i:j], bag[i:j], group[i:j]))
+        if held:
+            yield from emit(held)
+
+    return run
 
 
 def _rows_within(a: np.ndarray, b: np.ndarray, t: int) -> int:
@@ -321,23 +335,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_edges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest of all documents with words; verified edges a, b, similarity between first copies)."""
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    signed = durable(x.mapInArrow(_sign, "doc_id long, n int, digest binary, sk array<int>, bag binary, grams array<bigint>"), "dedup-signed")
-    first = durable(signed.groupBy("digest").agg(F.min("doc_id").alias("rep")), "dedup-first")
-    reps = signed.join(first.select(F.col("digest").alias("g_"), "rep"), (F.col("digest") == F.col("g_")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["doc_id", "digest"]).select("doc_id", "n", "sk", "bag", "grams")
-    reps = durable(reps, "dedup-reps")
-    rows = reps.select("doc_id", F.posexplode("sk").alias("band", "v")).select("doc_id", F.col("band").cast("int").alias("band"), F.expr("shiftleft(cast(band as bigint), 32) | (cast(v as bigint) & 4294967295)").alias("key"))
-    rows = rows.union(reps.select("doc_id", F.lit(SKETCHES).alias("band"), F.explode("grams").alias("key")))
-    w = Window.partitionBy("key").orderBy("doc_id")
-    met = rows.select("*", (F.lag("doc_id").over(w).isNotNull() | F.lead("doc_id").over(w).isNotNull()).alias("met")).where("met").select(F.col("doc_id").alias("d_"), "band", "key")
-    met = durable(met, "dedup-buckets")
-    full = met.join(reps, F.col("d_") == F.col("doc_id")).select("key", "band", "doc_id", "n", "sk", "bag")
-    pairs = full.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_pairs, "a long, b long").where("a <> b").distinct()
-    pairs = durable(pairs, "dedup-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("d_")).distinct()
-    ids = durable(ids, "dedup-ids")
+def _verified(pairs: DataFrame, x: DataFrame) -> DataFrame:
+    """The pairs a, b (durable) whose texts in ``x`` align: a, b, similarity."""
+    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("d_")).distinct(), "dedup-ids")
     if ids.count() <= BROADCAST_ROWS:
         texts = x.join(F.broadcast(ids), F.col("doc_id") == F.col("d_"), "left_semi").mapInArrow(_word_bytes, "doc_id long, words binary")
     else:  # words are moved rather than texts
@@ -347,7 +347,35 @@ def near_edges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     right = texts.select(F.col("doc_id").alias("b_"), F.col("words").alias("bw"))
     joined = pairs.join(left, F.col("a") == F.col("a_")).select("a", "b", "aw").join(right, F.col("b") == F.col("b_")).select("a", "b", "aw", "bw")
     joined = joined.where("length(aw) > 0 and length(bw) > 0")
-    edges = joined.mapInArrow(_align, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return joined.mapInArrow(_align, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
+def near_edges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest of all documents with words; verified edges a, b, similarity between first copies)."""
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    signed = durable(x.mapInArrow(_sign, "doc_id long, n int, digest binary, sk array<int>, bag binary, grams array<bigint>"), "dedup-signed")
+    first = durable(signed.groupBy("digest").agg(F.min("doc_id").alias("rep")), "dedup-first")
+    reps = signed.join(first.select(F.col("digest").alias("g_"), "rep"), (F.col("digest") == F.col("g_")) & (F.col("doc_id") == F.col("rep"))).dropDuplicates(["doc_id", "digest"]).select("doc_id", "n", "sk", "bag", "grams")
+    reps = durable(reps, "dedup-reps")
+    rows = reps.select("doc_id", F.posexplode("sk").alias("band", "v")).select("doc_id", F.expr("shiftleft(cast(band as bigint), 32) | (cast(v as bigint) & 4294967295)").alias("key"))
+    rows = rows.union(reps.select("doc_id", F.explode("grams").alias("key")))
+    w = Window.partitionBy("key").orderBy("doc_id")
+    met = rows.select("*", (F.lag("doc_id").over(w).isNotNull() | F.lead("doc_id").over(w).isNotNull()).alias("met")).where("met").select(F.col("doc_id").alias("d_"), "key")
+    met = durable(met, "dedup-buckets")
+    reps = reps.select("doc_id", "n", "bag")
+
+    def candidates(members: DataFrame, rule: Callable) -> DataFrame:
+        full = members.join(reps, F.col("d_") == F.col("doc_id")).select("key", "doc_id", "n", "bag", "group")
+        return full.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_pairs(rule), "a long, b long").where("a <> b").distinct()
+
+    led = durable(candidates(met.withColumn("group", F.col("d_")), leader_pairs), "dedup-pairs")
+    edges = durable(_verified(led, x), "dedup-edges")
+    joined = components(edges).select(F.col("node").alias("n_"), "group")
+    members = met.join(joined, F.col("d_") == F.col("n_"), "left").select("key", "d_", F.coalesce("group", "d_").alias("group"))
+    every = Window.partitionBy("key")
+    members = members.select("*", (F.min("group").over(every) < F.max("group").over(every)).alias("open")).where("open").drop("open")
+    late = candidates(members, open_pairs).join(led.select(F.col("a").alias("a_"), F.col("b").alias("b_")), (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")), "left_anti")
+    edges = edges.union(_verified(durable(late, "dedup-pairs"), x))
     copies = signed.join(first.select(F.col("digest").alias("g_"), "rep"), F.col("digest") == F.col("g_")).select("doc_id", "rep")
     return durable(copies, "dedup-copies"), durable(edges, "dedup-edges")
 

@@ -128,6 +128,20 @@ def test_near_dedup_recall_by_length(spark, n):
     assert len(want) >= 40 and sum(p in got for p in want) >= (1 if n <= 26 else 0.9) * len(want)
 
 
+def test_near_dedup_chains_of_drifting_copies(spark):
+    rng = np.random.default_rng(13)
+    texts = []
+    for _ in range(60):  # A and C are not similar; B, which is close to A, links C
+        b = [f"v{x}" for x in rng.integers(0, 20_000, 200)]
+        at = rng.permutation(200)
+        a, c = list(b), list(b)
+        for i, k in enumerate(at[:53]):
+            (a if i < 4 else c)[k] = f"x{rng.integers(0, 20_000)}"
+        texts += [a, b, c]
+    g = {r["doc_id"]: r["group_id"] for r in dedup.groups(docs(spark, [" ".join(t) for t in texts])).collect()}
+    assert sum(g.get(i + 2) == i for i in range(0, 180, 3)) >= 0.9 * 60
+
+
 def test_near_dedup_short_texts_against_all_pairs(spark):
     rng = np.random.default_rng(12)
     texts = []
