@@ -71,7 +71,9 @@ _PAIR = re.compile(rf"(?<!\w)({'|'.join(sorted((n for n in _GENDER if len(n) >=
 _HAN = re.compile(f"([{''.join(x[0] for x in SURNAMES['han'])}])([一-鿿]{{1,2}})({'|'.join(_HAN_TITLES)})")
 _IP = re.compile(r"(?<![\w.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?!\w|\.\d)")
 _CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)")
-_PHONE = re.compile(r"(?<![\w+(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)")
+_PHONE = re.compile(r"(?<![\w+(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|\d{3} \d{3} \d{4})(?!\w)")
+_PHONE_WHOLE = re.compile(r"\+(?:1[ .-]?\(?\d{3}\)?|\d{1,3}[ .-]?\(\d{3}\))[ .-]?\d{3}[ .-]?\d{4}(?!\w|[.-]\d)")
+_PHONE_END = re.compile(r"(?<=\d)(?=[ .-]\d)")
 _SSN = re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _SECRET = re.compile(r"[=:]\s{0,3}([\"']?)([A-Za-z0-9_+/=.~-]{8,})(?![\w])")
@@ -142,11 +144,21 @@ def find(text: str, digits: bool, at: bool, marks: bool, names: bool) -> list[tu
                 out.append((m.start(), m.end(), "card", d))
         for m in _SSN.finditer(text):
             out.append((m.start(), m.end(), "ssn", m[0].replace("-", "")))
-        for m in _PHONE.finditer(text):
-            d = re.sub(r"\D", "", m[0])
-            if 8 <= len(d) <= 15:
+        others = sorted(x[:2] for x in out if x[2] in ("ip", "card", "ssn"))
+        m = _PHONE.search(text)
+        while m:
+            # a complete number of ten national digits, else the longest end of at most 15 digits; before another find if it can be
+            end, whole = m.end(), _PHONE_WHOLE.match(text, m.start())
+            ends = [whole.end()] if whole else []
+            ends += [m.end(), *(m.start() + x.start() for x in reversed(list(_PHONE_END.finditer(m[0]))))]
+            ends = [e for e in ends if 8 <= sum(c.isdigit() for c in text[m.start() : e]) <= 15 and _PHONE.fullmatch(text, m.start(), e)]
+            if ends:
+                stop = next((x for x, e in others if m.start() < x < ends[0]), ends[0])
+                end = next((e for e in ends if e <= stop), ends[0])
+                d = re.sub(r"\D", "", text[m.start() : end])
                 # a national number of ten digits is the same with +1
-                out.append((m.start(), m.end(), "phone", d[1:] if m[0][0] == "+" and len(d) == 11 and d[0] == "1" else d))
+                out.append((m.start(), end, "phone", d[1:] if m[0][0] == "+" and len(d) == 11 and d[0] == "1" else d))
+            m = _PHONE.search(text, end)
         for m in _IBAN.finditer(text):
             s = m[0].replace(" ", "")
             if 15 <= len(s) <= 34 and _mod97(s) == 1:

@@ -186,6 +186,15 @@ def test_pii(spark):
     assert pii.rewrite(d).columns == d.columns and pii.rewrite(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("after", ["", " 190.137.223.204", " 123-45-6789", " 999 888 7777", " 12 34 5678 9012 3456"])
+@pytest.mark.parametrize("number", ["+1 (826) 555-4081", "+7 (826) 555-4081", "(826) 555-4081", "826 555 4081"])
+def test_phone_before_other_digits(number, after):
+    found = pii.find(f"call {number}{after} now", True, True, True, True)
+    assert found[0][:3] == (5, 5 + len(number), "phone")
+    if after and after[1:3] != "12" or "-" in after:
+        assert found[1][:2] == (6 + len(number), 5 + len(number) + len(after))
+
+
 def test_toxicity_held_out():
     rng = np.random.default_rng(6)
     texts, y = [], []
