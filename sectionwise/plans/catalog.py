@@ -348,8 +348,9 @@ def _(s, d):
 
 @query("image_refs", """WITH c AS (SELECT doc_id AS id, unnest(range(1 + doc_id % 3)) AS k FROM documents) SELECT id, CAST(k + 1 AS INT) AS seq, 'tmp/' || id || '_' || k || '.png' AS temp_path, 'Fig ' || k AS caption FROM c""")
 def _(s, d):
+    """The comments stand in the middle of each whole text."""
     one = lambda k: F.concat(F.lit('<!-- IMAGE: {"temp_path": "tmp/'), F.col("doc_id").cast("string"), F.lit("_"), k.cast("string"), F.lit('.png", "caption": "Fig '), k.cast("string"), F.lit('", "contained_text": []} -->'))
-    x = _read(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("a\n"), F.array_join(F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int")), one), "\nb\n")).alias("content"))
+    x = _read(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("\n", F.expr("substring(text, 1, length(text) div 2)"), F.array_join(F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int")), one), "\n"), F.expr("substring(text, length(text) div 2 + 1)")).alias("content"))
     return layout.image_refs(x).select("id", "seq", "temp_path", "caption")
 
 
