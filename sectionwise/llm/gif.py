@@ -307,25 +307,26 @@ def encode(width: int, height: int, palette: np.ndarray, images: list[dict], loo
     return b"".join([*out, b"\x3b"])
 
 
-SIDE = 20
+#: Bytes that one frame of a drawn page holds.
+CELLS = 1 << 16
 
 
 def page_gif(html: bytes, page_id: int) -> bytes:
-    """The tables hold no media, so each page is drawn: its whole html, folded into a grid of colours, then 0 to 3 changes."""
+    """The tables hold no media, so each page is drawn: every byte of its html is a pixel, in as many frames as that takes, then come 0 to 3 changes."""
     seed = zlib.crc32(html) ^ page_id & 0xFFFFFFFF
     b = np.frombuffer(html, np.uint8)
-    cells = SIDE * SIDE
-    cut = np.arange(cells) * len(b) // cells
-    sums = np.add.reduceat(b.astype(np.int64), cut) if len(b) else np.zeros(cells, np.int64)
-    px = (sums // np.maximum(1, np.diff(np.append(cut, len(b)))) >> 3 & 15).astype(np.uint8).reshape(SIDE, SIDE)
-    k = np.arange(16)
-    palette = np.stack([k * 17, (k * (seed & 15) * 16 + (seed >> 4 & 63)) & 255, 255 - k * (seed >> 12 & 15)], 1)
-    images = [{"pixels": px, "delay": 4 + (seed & 7), "disposal": seed >> 3 & 1, "interlaced": bool(seed & 32)}]
+    width = max(1, int(np.ceil(np.sqrt(min(len(b), CELLS)))))
+    height = max(1, -(-min(len(b), CELLS) // width))
+    sheets = max(1, -(-len(b) // (width * height)))
+    px = np.concatenate((b, np.zeros(sheets * width * height - len(b), np.uint8))).reshape(sheets, height, width)
+    k = np.arange(256)
+    palette = np.stack([k, (k * (seed & 15) * 16 + (seed >> 4 & 63)) & 255, 255 - (k * (seed >> 12 & 15) >> 4)], 1)
+    images = [{"pixels": x, "delay": 4 + (seed & 7), "disposal": seed >> 3 & 1, "interlaced": bool(seed & 32)} for x in px]
     for n in range(seed >> 6 & 3):
         s = seed >> (n * 3)
-        y, x, d = s & 7, s >> 2 & 7, 6 + (s >> 5 & 3)
-        images.append({"left": x, "top": y, "pixels": px[y : y + d, x : x + d] ^ (n + 1), "delay": 2 + (s & 3), "disposal": s >> 8 & 3, "clear": s & 15 if s & 64 else None, "palette": palette[::-1] if s & 128 else None})
-    return encode(SIDE, SIDE, palette, images)
+        y, x, d = min(s & 7, height - 1), min(s >> 2 & 7, width - 1), 6 + (s >> 5 & 3)
+        images.append({"left": x, "top": y, "pixels": px[-1, y : y + d, x : x + d] ^ np.uint8(n + 1), "delay": 2 + (s & 3), "disposal": s >> 8 & 3, "clear": s & 15 if s & 64 else None, "palette": palette[::-1] if s & 128 else None})
+    return encode(width, height, palette, images)
 
 
 def page_gifs(pages: DataFrame) -> DataFrame:

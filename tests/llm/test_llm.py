@@ -36,6 +36,15 @@ def test_gif_round_trip_and_composition():
         assert gif.decode(data[:k])[-1]["error"]
 
 
+@pytest.mark.parametrize("n", [0, 1, 400, 60_113, 200_000])
+def test_page_gif_draws_every_byte(n):
+    html = np.random.default_rng(n).integers(32, 127, n).astype(np.uint8).tobytes()
+    f = gif.decode(gif.page_gif(html, 5))
+    assert not any(x["error"] for x in f)
+    red = b"".join(x["rgba"][::4] for x in f)
+    assert len(red) >= n and red.startswith(html)
+
+
 def test_lzw_deferred_clear():
     px = np.random.default_rng(3).integers(0, 4, 60_000).astype(np.uint8)
     codes, table, w = [], {bytes([i]): i for i in range(4)}, b""
