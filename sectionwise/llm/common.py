@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a side that may be broadcast; beyond it the join is shuffled with salted keys.
 BROADCAST_ROWS = 200_000
@@ -26,7 +29,9 @@ def scratch(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
-        base = "file://" + tempfile.mkdtemp(prefix="sectionwise-")
+        own = tempfile.mkdtemp(prefix="sectionwise-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = "file://" + own
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/") if "://" in base or not base.startswith("/") else "file://" + base.rstrip("/")
 
@@ -43,7 +48,22 @@ def durable(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema if partition_by else df.schema).parquet(path)
+    out = spark.read.schema(spark.read.parquet(path).schema if partition_by else df.schema).parquet(path)
+    out.durable_path_ = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes durable tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.durable_path_)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all durable tables and files under the shared folder; call it once the results have been written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/sectionwise")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -70,7 +90,8 @@ def attach(big: DataFrame, small: DataFrame, on: list[tuple[str, str]], how: str
         cond = [F.col(b).eqNullSafe(F.col(s)) for b, s in on]
         return big.join(F.broadcast(small), cond, how).drop(*[s for _, s in on])
     salt_b, salt_s = fresh(big, "__salt_b", "__salt_s")
-    b = big.withColumn(salt_b, (F.rand(7) * SALTS).cast("int"))
+    # of the row itself, so that a task that is run again sends each row to the same place
+    b = big.withColumn(salt_b, F.pmod(F.xxhash64(*[F.col(c.name) for c in big.schema if not isinstance(c.dataType, T.MapType)]), F.lit(SALTS)).cast("int"))
     s = small.withColumn(salt_s, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     cond = [F.col(x).eqNullSafe(F.col(y)) for x, y in on] + [F.col(salt_b) == F.col(salt_s)]
     return b.join(s, cond, how).drop(salt_b, salt_s, *[y for _, y in on])
