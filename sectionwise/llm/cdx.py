@@ -230,7 +230,7 @@ def op10_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def capture_sql() -> str:
     """DuckDB SQL of op10's rows, by joining the pages to themselves."""
-    return """
+    return r"""
 WITH a AS (SELECT page_id, html, regexp_replace(regexp_replace(trim(coalesce(url, '')), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS u FROM pages),
 b AS (SELECT *, regexp_replace(lower(regexp_extract(u, '^(?:[^/?]*@)?([^/?:]*)', 1)), '^www\.', '') AS host, regexp_extract(u, '^(?:[^/?]*@)?[^/?:]*:([0-9]+)', 1) AS port, regexp_extract(u, '^[^/?]*(.*)$', 1) AS rest FROM a),
 c AS (SELECT page_id, html, CASE WHEN host = '' THEN '-' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || ')'

@@ -15,7 +15,8 @@ Text tokens are whitespace words. The only shuffle brings a conversation's turns
 Defined results: null content is an empty message; content that isn't JSON, or is JSON other than a
 list or a string, is taken as plain text; a part of unknown type or that isn't an object becomes
 ``<|unknown:n|>`` with no tokens and is referenced; missing, negative or odd sizes count as 0 and cost the
-markers alone; a null uri is ''; the turns of null conv_id form one conversation; ties and repeated rows stay, ordered by
+markers alone, and a conversation's tokens stop at 2**62; half a surrogate pair becomes U+FFFD; a null uri is ''; very long
+texts are kept whole; the turns of null conv_id form one conversation; ties and repeated rows stay, ordered by
 (turn, role, content), nulls first; placeholders that occur in a text are escaped as ``<\\|``, so none can be forged; an empty
 table gives no rows; other columns don't matter.
 """
@@ -23,6 +24,8 @@ table gives no rows; other columns don't matter.
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,12 +35,22 @@ from pyspark.sql import functions as F
 from .common import read
 
 PATCH, FRAME_MS, MARKERS = 28, 40, 2
+#: More tokens than this are counted as so many.
+MOST = 1 << 62
+_LONE = re.compile("[\ud800-\udfff]")
 REFERENCE = pa.struct([("ordinal", pa.int32()), ("kind", pa.string()), ("uri", pa.string()), ("turn", pa.int64()), ("char_offset", pa.int64()), ("tokens", pa.int64())])
 SCHEMA = "conv_id long, n_turns int, text string, text_tokens long, media_tokens long, attachments array<struct<ordinal int, kind string, uri string, turn long, char_offset long, tokens long>>"
 
 
 def _number(x: object) -> int:
-    return int(x) if isinstance(x, int | float) and not isinstance(x, bool) and 0 < x < 1e15 else 0
+    if isinstance(x, bool) or not isinstance(x, int | float) or not x > 0:
+        return 0
+    return MOST if math.isinf(x) else int(x)
+
+
+def _clean(s: object) -> str:
+    """JSON can hold halves of surrogate pairs, which no UTF-8 text can."""
+    return (s if s.isascii() else _LONE.sub("\ufffd", s)) if isinstance(s, str) else ""
 
 
 class Visitor:
@@ -56,13 +69,14 @@ class Visitor:
         self.size += len(s)
 
     def text(self, s: object) -> None:
-        s = s if isinstance(s, str) else ""
+        s = _clean(s)
         self.words += len(s.split())
         self.put(s.replace("<|", "<\\|"))
 
     def attach(self, kind: str, part: object, tokens: int) -> None:
-        uri = part.get("uri") if isinstance(part, dict) else None
-        self.refs.append({"ordinal": len(self.refs) + 1, "kind": kind, "uri": uri if isinstance(uri, str) else "", "turn": self.turn, "char_offset": self.size, "tokens": tokens})
+        uri = _clean(part.get("uri")) if isinstance(part, dict) else ""
+        tokens = min(tokens, MOST - self.media)
+        self.refs.append({"ordinal": len(self.refs) + 1, "kind": kind, "uri": uri, "turn": self.turn, "char_offset": self.size, "tokens": tokens})
         self.media += tokens
         self.put(f"<|{kind}:{len(self.refs)}|>")
 

@@ -97,10 +97,5 @@ def attach(big: DataFrame, small: DataFrame, on: list[tuple[str, str]], how: str
     return b.join(s, cond, how).drop(salt_b, salt_s, *[y for _, y in on])
 
 
-def words(text: Column) -> Column:
-    """Maximal runs of characters other than space, tab, newline and carriage return."""
-    return F.filter(F.split(text, "[ \\n\\t\\r]+"), lambda x: x != "")
-
-
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^ \\n\\t\\r]+")), F.lit(0))

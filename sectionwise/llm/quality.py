@@ -9,52 +9,144 @@ Each document gets integer metrics over its whole text (shares in 1/10,000, leng
 - ``repeated_lines``: non-empty lines that occur before, to non-empty lines;
 - ``bars``: words without letter or digit, to words.
 
+They come from array operations over a batch's UTF-8 bytes, in one pass.
+
 A log-linear histogram is the quantile sketch: a value keeps its SIG_BITS leading bits, so a
 quantile is at most 2**(1-SIG_BITS) too low, and sketches of any parts merge by adding counts, which makes
 them independent of partitioning. Sketches per (lang, source) merge into those per lang and for
-all; a group of under MIN_GROUP documents takes the thresholds of its language, or of all. The
+all. A group's quartiles are drawn towards those of its language by a weight of PRIOR documents, and those of the language
+towards those of all: small groups follow what surrounds them, and no size makes a jump. The
 fences are q25 - K*spread and q75 + K*spread with spread = max(q75 - q25, floor of the metric).
 A document outside of any fence is rejected, so a clean group rejects none, whatever its level.
 
 Defined results: a null or empty text, or one with no word, has no metrics and is rejected with
-reason ``empty``; null lang or source is a group of its own; repeated rows count as often as they
-occur and share their fate; an empty table gives an empty result; other columns pass through.
+reason ``empty``; a value on a fence is accepted; null lang or source is a group of its own; repeated rows count as often as they
+occur and share their fate; very long texts are measured whole; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import attach, durable, fresh, read, words
+from .common import attach, durable, fresh, read
+from .wordhash import _R, _R_INV, _powers, buffers, chunks, mix64
 
 SIG_BITS = 7
 K = 4
-MIN_GROUP = 40
+PRIOR = 40
 #: metric -> (least spread, sides)
 METRICS = {"symbols": (300, "hi"), "capitals": (500, "hi"), "word_len": (100, "both"), "repeated_words": (300, "hi"), "repeated_lines": (1500, "hi"), "bars": (300, "hi")}
 
 
-def _share(part: Column, whole: Column, unit: int) -> Column:
-    return F.when(whole > 0, F.floor(part.cast("long") * unit / whole)).cast("long")
+_LETTER, _NUMBER, _UPPER, _SPACE = 1, 2, 4, 8
+_classes: list[np.ndarray] = []
+
+
+def _class_table() -> np.ndarray:
+    """Flags by code point."""
+    if not _classes:
+        kinds = {"Lu": _LETTER | _UPPER, **dict.fromkeys(("Ll", "Lt", "Lm", "Lo"), _LETTER), **dict.fromkeys(("Nd", "Nl", "No"), _NUMBER)}
+        table = np.array([kinds.get(unicodedata.category(chr(c)), 0) for c in range(0x110000)], np.uint8)
+        table[[9, 10, 13, 32]] = _SPACE
+        _classes.append(table)
+    return _classes[0]
+
+
+def _characters(b: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """(flags of each character, byte offsets of the characters, None if each is a byte)."""
+    table = _class_table()
+    if not (b >= 128).any():
+        return table[b], None
+    at = np.flatnonzero((b & 0xC0) != 0x80)
+    lead = b[at]
+    c = lead.astype(np.int32)
+    for size, low, high in ((2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0x100)):
+        k = np.flatnonzero((lead >= low) & (lead < high))
+        code = c[k] & (0x7F >> size)
+        for j in range(1, size):
+            code = code << 6 | (b[np.minimum(at[k] + j, len(b) - 1)] & 0x3F)
+        c[k] = code
+    return table[np.minimum(c, 0x10FFFF)], at
+
+
+def _run_hashes(b: np.ndarray, inside: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of bytes that begin at ``starts``."""
+    v = np.where(inside, b.astype(np.uint64) + np.uint64(1), np.uint64(0)) * _powers(_R, len(b))
+    return mix64(np.add.reduceat(v, starts) * _powers(_R_INV, len(b))[starts])
+
+
+def measure(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words by row, rows x METRICS) of the texts at ``off``."""
+    b, rows = data[off[0] : off[-1]], off - off[0]
+    n_rows = len(rows) - 1
+    out = np.zeros((n_rows, len(METRICS)), np.int64)
+    if not len(b):
+        return np.zeros(n_rows, np.int64), out
+    flags, at = _characters(b)
+    ends = rows if at is None else np.searchsorted(at, rows)
+
+    def per_row(mask: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(mask, dtype=np.int64)))
+        return total[bounds[1:]] - total[bounds[:-1]]
+
+    space = flags == _SPACE
+    start = ~space
+    start[1:] &= space[:-1]
+    first = ends[:-1][ends[:-1] < len(flags)]
+    start[first] = ~space[first]
+    starts = np.flatnonzero(start)
+    size = np.diff(ends)
+    words = np.searchsorted(starts, ends)
+    n = np.diff(words)
+    named = (flags & (_LETTER | _NUMBER)) != 0
+    repeated, bars = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64)
+    if len(starts):
+        byte = starts if at is None else at[starts]
+        inside = (b != 32) & (b != 10) & (b != 9) & (b != 13)
+        h = _run_hashes(b, inside, byte)
+        same = np.zeros(len(h), bool)
+        same[1:] = h[1:] == h[:-1]
+        same[words[:-1][words[:-1] < len(h)]] = False
+        repeated = per_row(same, words)
+        bars = per_row(np.add.reduceat(named.astype(np.int32), starts) == 0, words)
+    feed = b == 10
+    line = ~feed
+    line[1:] &= feed[:-1]
+    first = rows[:-1][rows[:-1] < len(b)]
+    line[first] = ~feed[first]
+    begins = np.flatnonzero(line)
+    lines = np.searchsorted(begins, rows)
+    n_lines, again = np.diff(lines), np.zeros(n_rows, np.int64)
+    if len(begins) > n_rows:
+        row = np.repeat(np.arange(n_rows), n_lines)
+        key = _run_hashes(b, ~feed, begins) ^ mix64(row.astype(np.uint64) + np.uint64(1))
+        order = np.argsort(key)
+        twice = np.flatnonzero(key[order][1:] == key[order][:-1])
+        again = np.bincount(row[order[1:][twice]], minlength=n_rows)
+    w = np.maximum(n, 1)
+    out[:] = np.stack([per_row(~named & ~space, ends) * 10_000 // np.maximum(size, 1), per_row((flags & _UPPER) != 0, ends) * 10_000 // np.maximum(size, 1), per_row(~space, ends) * 100 // w, repeated * 10_000 // w, again * 10_000 // np.maximum(n_lines, 1), bars * 10_000 // w], 1)
+    return n, out
+
+
+_STRUCT = "struct<" + ", ".join(f"{m}: bigint" for m in METRICS) + ">"
+
+
+def _measured(texts: pa.Array) -> pa.Array:
+    data, off = buffers(texts)
+    parts = [measure(data, off[i : j + 1]) for i, j in chunks(off)]
+    n = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+    x = np.concatenate([p[1] for p in parts]) if parts else np.zeros((0, len(METRICS)), np.int64)
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(METRICS))], list(METRICS), mask=pa.array(n == 0))
 
 
 def metrics(text: Column) -> Column:
-    """Struct of METRICS, or null where the text has no word."""
-    w = words(text)
-    n = F.size(w)
-    lines = F.filter(F.split(text, "\\n"), lambda x: x != "")
-    size = F.length(text)
-    repeats = F.size(F.filter(F.zip_with(F.slice(w, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(w, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda a, b: a == b), lambda x: x))
-    cols = [
-        _share(F.length(F.regexp_replace(text, "[\\p{L}\\p{N} \\n\\t\\r]+", "")), size, 10_000).alias("symbols"),
-        _share(F.length(F.regexp_replace(text, "[^\\p{Lu}]+", "")), size, 10_000).alias("capitals"),
-        _share(F.length(F.regexp_replace(text, "[ \\n\\t\\r]+", "")), n, 100).alias("word_len"),
-        _share(repeats, n, 10_000).alias("repeated_words"),
-        _share(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines), 10_000).alias("repeated_lines"),
-        _share(F.regexp_count(text, F.lit("(?:^|[ \\n\\t\\r])[^\\p{L}\\p{N} \\n\\t\\r]+(?:$|[ \\n\\t\\r])")), n, 10_000).alias("bars"),
-    ]
-    return F.when(F.coalesce(n, F.lit(0)) > 0, F.struct(*cols))
+    """Struct of METRICS, or null where the text has no word. Marked as not deterministic so that no filter computes it again."""
+    return F.arrow_udf(_measured, _STRUCT).asNondeterministic()(text.cast("string"))
 
 
 def _bucket(v: Column) -> Column:
@@ -80,7 +172,7 @@ def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return x.groupBy(*keys, "metric").agg(F.max("total").alias("total"), *q)
 
 
-def thresholds(measured: DataFrame, min_group: int = MIN_GROUP, k: int = K) -> DataFrame:
+def thresholds(measured: DataFrame, prior: int = PRIOR, k: int = K) -> DataFrame:
     """One row a (lang, source): lo_<metric>, hi_<metric>; durable."""
     own = durable(sketches(measured), "quality-sketch")
     by_lang, by_all = merge(own, ["lang"]), merge(own, [])
@@ -90,7 +182,8 @@ def thresholds(measured: DataFrame, min_group: int = MIN_GROUP, k: int = K) -> D
     x = a.join(b, F.col("lang").eqNullSafe(F.col("l_")) & (F.col("metric") == F.col("m_"))).join(c, F.col("metric") == F.col("m2_"))
 
     def pick(q: str) -> Column:
-        return F.when(F.col("total") >= min_group, F.col(q)).when(F.col("btotal") >= min_group, F.col("b" + q)).otherwise(F.col("c" + q))
+        around = f"((btotal * b{q} + {prior} * c{q}) div (btotal + {prior}))"
+        return F.expr(f"(total * {q} + {prior} * {around}) div (total + {prior})")
 
     x = x.select("lang", "source", "metric", pick("q25").alias("lo"), pick("q75").alias("hi"))
     least = F.lit(0)
@@ -105,7 +198,7 @@ def thresholds(measured: DataFrame, min_group: int = MIN_GROUP, k: int = K) -> D
 def judge(docs: DataFrame, into: str, **args) -> DataFrame:
     """``docs`` with a struct ``into``: metrics, and ``reasons`` (array, empty if accepted).
 
-    The metrics are computed twice, for the thresholds and for the verdict: that is cheaper than moving the texts.
+    The metrics are computed twice, for the thresholds and for the verdict: that costs less than writing the texts between.
     """
     (m_,) = fresh(docs, "__m")
     return _judge_measured(docs.withColumn(m_, metrics(F.col("text"))), m_, into, **args)
@@ -155,6 +248,10 @@ def quality_sql(docs: str = "documents", final: str | None = None) -> str:
         return f"""{name} AS (SELECT {keys}metric, max(total) AS total, min(CASE WHEN upto * 4 >= total THEN bucket END) AS q25, min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS q75
   FROM (SELECT *, sum(n) OVER ({part}) AS total, sum(n) OVER ({part} ORDER BY bucket) AS upto FROM (SELECT {keys}metric, bucket, sum(n) AS n FROM {source} GROUP BY ALL)) GROUP BY {keys}metric)"""
 
+    def pick(v: str) -> str:
+        around = f"((b.total * b.{v} + {PRIOR} * c.{v}) // (b.total + {PRIOR}))"
+        return f"CAST((a.total * a.{v} + {PRIOR} * {around}) // (a.total + {PRIOR}) AS BIGINT)"
+
     return f"""
 WITH parts AS (SELECT *, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\n\\t\\r]+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS lines FROM {docs}),
 measured AS MATERIALIZED (SELECT * EXCLUDE (w, lines), len(w) AS n,
@@ -163,14 +260,13 @@ measured AS MATERIALIZED (SELECT * EXCLUDE (w, lines), len(w) AS n,
   CASE WHEN len(w) > 0 THEN CAST(floor(CAST(length(regexp_replace(text, '[ \\n\\t\\r]+', '', 'g')) * 100 AS DOUBLE) / len(w)) AS BIGINT) END AS word_len,
   CASE WHEN len(w) > 0 THEN CAST(floor(CAST(len(list_filter(list_zip(w[2:], w[:-2]), lambda p: p[1] = p[2])) * 10000 AS DOUBLE) / len(w)) AS BIGINT) END AS repeated_words,
   CASE WHEN len(w) > 0 THEN CAST(floor(CAST((len(lines) - len(list_distinct(lines))) * 10000 AS DOUBLE) / len(lines)) AS BIGINT) END AS repeated_lines,
-  CASE WHEN len(w) > 0 THEN CAST(floor(CAST(len(regexp_extract_all(text, '(?:^|[ \\n\\t\\r])[^\\p{{L}}\\p{{N}} \\n\\t\\r]+(?:$|[ \\n\\t\\r])')) * 10000 AS DOUBLE) / len(w)) AS BIGINT) END AS bars
+  CASE WHEN len(w) > 0 THEN CAST(floor(CAST(len(list_filter(w, lambda x: NOT regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))) * 10000 AS DOUBLE) / len(w)) AS BIGINT) END AS bars
   FROM parts),
 long AS ({unpivot}),
 sketch AS (SELECT lang, source, metric, (v >> greatest(length(bin(v)) - {SIG_BITS}, 0)) << greatest(length(bin(v)) - {SIG_BITS}, 0) AS bucket, count(*) AS n FROM long GROUP BY ALL),
 {q("qa", "sketch", "lang, source, ")}, {q("qb", "sketch", "lang, ")}, {q("qc", "sketch", "")},
 picked AS (SELECT a.lang, a.source, a.metric,
-  CASE WHEN a.total >= {MIN_GROUP} THEN a.q25 WHEN b.total >= {MIN_GROUP} THEN b.q25 ELSE c.q25 END AS q25,
-  CASE WHEN a.total >= {MIN_GROUP} THEN a.q75 WHEN b.total >= {MIN_GROUP} THEN b.q75 ELSE c.q75 END AS q75
+  {pick("q25")} AS q25, {pick("q75")} AS q75
   FROM qa a JOIN qb b ON a.lang IS NOT DISTINCT FROM b.lang AND a.metric = b.metric JOIN qc c ON a.metric = c.metric),
 fences AS (SELECT lang, source, metric, q25 - {K} * greatest(q75 - q25, {least}) AS lo, q75 + {K} * greatest(q75 - q25, {least}) AS hi FROM picked),
 limits AS (SELECT lang, source, {sides} FROM fences GROUP BY lang, source),

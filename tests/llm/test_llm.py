@@ -1,6 +1,10 @@
+import re
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sectionwise.llm import cdx, chat, dedup, gif, packing, quality, tokenbin, toxicity
 from sectionwise.llm.wordhash import buffers
@@ -78,10 +82,27 @@ def test_chat_visitor():
     v.message(0, "user", '[{"type":"text","text":"a <|x b"},{"type":"document","uri":"d","parts":[{"type":"image","width":29,"height":28},{"type":"document","parts":[]},3]},{"type":"audio","ms":41}]')
     assert "".join(v.out) == "<|start|>user\na <\\|x b<|document:1|><|image:2|><|document:3|><|/document|><|unknown:4|><|/document|><|audio:5|><|end|>\n"
     assert [r["tokens"] for r in v.refs] == [2, 4, 2, 0, 4] and v.words == 3
-    for odd in (None, "", "[", "[1", '{"a":1}', "[" * 5000):
+    for odd in (None, "", "[", "[1", '{"a":1}', "[" * 5000, '["a', "[1e999]"):
         chat.Visitor().message(None, None, odd)
 
 
+def test_chat_bad_rows(spark):
+    messages = [
+        (1, 0, "user", '[{"type":"text","text":"x \\ud83d y"},{"type":"image","uri":"\\ud83d","width":9e14,"height":9e14},{"type":"image","width":1e999,"height":NaN}]'),
+        (1, 0, "user", '[{"type":"audio","ms":1e999},{"type":"audio","ms":-3},{"type":"image","width":true,"height":"9"}]'),
+        (None, None, None, None), (None, None, None, "b"), (None, None, None, "b"), (None, 1, "r", ""),
+        (3, 5, "user", "long " * 400_000),
+    ]
+    d = spark.createDataFrame(messages, "conv_id long, turn long, role string, content string").withColumn("t", F.lit(7)).withColumn("text", F.lit("clash"))
+    got = {r["conv_id"]: r for r in chat.flatten(d).collect()}
+    assert len(got) == 3 and "x \ufffd y<|image:4|>" in got[1]["text"]
+    assert got[1]["media_tokens"] == chat.MOST and [a["tokens"] for a in got[1]["attachments"]] == [chat.MOST, 0, 0, 0, 0]
+    assert got[1]["attachments"][3]["uri"] == "\ufffd"
+    assert got[None]["n_turns"] == 4 and got[None]["text"].count("b<|end|>") == 2
+    assert got[3]["text_tokens"] == 400_000
+    assert chat.flatten(d.limit(0)).count() == 0
+
+
 def brute_edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -235,6 +256,35 @@ def test_packing_covers_all_words(spark):
     assert sorted((r["seq_id"] * 8 + r["slot"]) for r in rows)[0] == 0 and max(r["n_tokens"] for r in rows) <= 8
 
 
+def slow_metrics(text):
+    """METRICS of one text, character by character."""
+    kind = lambda c: unicodedata.category(c)
+    ws = [w for w in re.split("[ \\n\\t\\r]+", text or "") if w]
+    if not ws:
+        return None
+    lines = [x for x in text.split("\n") if x]
+    named = lambda c: kind(c)[0] in "LN"
+    odd = sum(not named(c) and c not in " \n\t\r" for c in text)
+    return {
+        "symbols": odd * 10_000 // len(text),
+        "capitals": sum(kind(c) == "Lu" for c in text) * 10_000 // len(text),
+        "word_len": sum(map(len, ws)) * 100 // len(ws),
+        "repeated_words": sum(a == b for a, b in zip(ws[1:], ws, strict=False)) * 10_000 // len(ws),
+        "repeated_lines": (len(lines) - len(set(lines))) * 10_000 // max(1, len(lines)),
+        "bars": sum(not any(map(named, w)) for w in ws) * 10_000 // len(ws),
+    }
+
+
+def test_quality_metrics_against_plain_loops(spark):
+    rng = np.random.default_rng(8)
+    bits = ["a", "B", " ", " ", "\n", "\t", "\r", "é", "É", "漢", "Ж", "１", "½", "\U0001f600", "\U00010400", "|", "-", "\u00a0", "\0", "the ", "the\n"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 60))) for _ in range(400)] + [None, "", " \n", "word " * 300_000, "é", "a\na\na", "| | | a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).select("doc_id", quality.metrics("text").alias("m")).collect()
+    got = {r["doc_id"]: r["m"] and r["m"].asDict() for r in rows}
+    for i, t in enumerate(texts):
+        assert got[i] == slow_metrics(t), t
+
+
 def test_quality_edges(spark):
     d = docs(spark, ["plain words in a row here"] * 60 + ["%%% ### $$$ " * 30, "", None])
     kept = [r["doc_id"] for r in quality.accept(d).collect()]
@@ -242,6 +292,28 @@ def test_quality_edges(spark):
     assert quality.accept(d.limit(0)).count() == 0
 
 
+def test_quality_keeps_values_on_a_fence_and_odd_groups(spark):
+    rows = [(1, "one two three", None, None), (1, "one two three", None, None), (None, "one two three", "de", None)] + [(i, "one two three", "en", "s") for i in range(2, 30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("__m", F.lit(1)).withColumn("__l", F.lit(2)).withColumn("__q", F.lit(3))
+    assert quality.accept(d).count() == len(rows) and quality.accept(d).columns == d.columns
+    # a fence is 4 spreads of 300 above 0: one symbol in 8.33 characters
+    base = [(i, "abcdefghij klmnopqrst", "en", "s") for i in range(200)]
+    at, over = "a" * 22 + "!" * 3, "a" * 21 + "!" * 3
+    d = spark.createDataFrame([*base, (1000, at, "en", "s"), (1001, over, "en", "s")], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["q"] for r in quality.judge(d, "q").where("doc_id >= 1000").collect()}
+    assert got[1000]["symbols"] == 1200 and "symbols" not in got[1000]["reasons"] and "symbols" in got[1001]["reasons"]
+
+
+def test_quality_thresholds_change_smoothly(spark):
+    """One document more never moves a group's fence by more than its share of the distance to its neighbours."""
+    rows = lambda n: [(0, 0, 500, 0, 0, 0, "en", "big")] * 1000 + [(2000, 0, 500, 0, 0, 0, "en", "own")] * n
+    fences = []
+    for n in (1, 38, 39, 40, 41, 400):
+        x = spark.createDataFrame(rows(n), ", ".join(f"{m} long" for m in quality.METRICS) + ", lang string, source string")
+        fences.append(quality.thresholds(x).where("source = 'own'").first()["hi_symbols"])
+    assert fences == sorted(fences) and max(b - a for a, b in zip(fences[1:4], fences[2:5], strict=True)) < 40
+
+
 @pytest.mark.parametrize("budget", [0, 100, 10_000])
 def test_shares_are_exact(spark, budget):
     from sectionwise.llm import mixing
