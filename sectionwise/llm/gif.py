@@ -13,7 +13,7 @@ a frame, ``empty``; no GIF header, ``header``; no image, ``no image``; a stream
 refers to a code it has not defined keeps the pixels before that, transparent after them, ``truncated``
 or ``code``; a frame without any palette is not drawn, ``palette``; a canvas of more than
 MAX_PIXELS is not drawn, ``canvas``; a frame that reaches over the canvas is clipped. The frames before a
-defect are kept. Repeated rows, and ids that are null, are decoded as they occur; an empty table gives no rows; other columns
+defect are kept. Frames are decoded one by one, so a file's length costs no memory. Repeated rows, and ids that are null, are decoded as they occur; an empty table gives no rows; other columns
 don't matter.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-#: A header may claim 65,535 x 65,535; beyond this a canvas isn't allocated.
+#: A header may claim 65,535 x 65,535; beyond this a canvas fits neither a task's memory nor, as RGBA, a row.
 MAX_PIXELS = 1 << 26
 BINS = 64
 SCHEMA = "id long, frame int, n_frames int, canvas_width int, canvas_height int, loops int, left int, top int, width int, height int, start_cs long, delay_cs int, disposal int, transparent boolean, interlaced boolean, visible int, histogram array<int>, rgba binary, error string"
@@ -70,15 +71,14 @@ def _expand(c: np.ndarray, min_size: int, room: int) -> tuple[np.ndarray, str |
     starts = np.cumsum(size) - size
     n = int(np.searchsorted(starts, room))
     c, p, size, starts = c[:n], p[:n], size[:n], starts[:n]
-    owner = np.repeat(at[:n], size)
-    pixel = np.arange(len(owner))
-    src = np.where(p[owner] < 0, pixel, starts[np.maximum(p[owner], 0)] + pixel - starts[owner])
+    back = np.where(p < 0, 0, starts[np.maximum(p, 0)] - starts)
+    src = np.arange(int(size.sum())) + np.repeat(back, size)
     while True:
         to = src[src]
-        if (to == src).all():
+        if np.array_equal(to, src):
             break
         src = to
-    return c[owner[src]].astype(np.uint8), error
+    return np.repeat(c.astype(np.uint8), size)[src], error
 
 
 def lzw(data: bytes, min_size: int, n_pixels: int) -> tuple[np.ndarray, str | None]:
@@ -126,30 +126,39 @@ def _blocks(b: bytes, i: int) -> tuple[bytes, int, bool]:
 
 
 def _palette(b: bytes, i: int, packed: int) -> tuple[np.ndarray | None, int]:
+    """(256 colours as RGBA in 32 bits, place after them)."""
     if not packed & 0x80:
         return None, i
     n = 2 << (packed & 7)
-    table = np.zeros((256, 3), np.uint8)
+    table = np.full(256, 0xFF000000, np.uint32)
     x = np.frombuffer(b[i : i + 3 * n], np.uint8)
-    x = x[: len(x) // 3 * 3].reshape(-1, 3)
-    table[: len(x)] = x
+    x = x[: len(x) // 3 * 3].reshape(-1, 3).astype(np.uint32)
+    table[: len(x)] |= x[:, 0] | x[:, 1] << 8 | x[:, 2] << 16
     return table, i + 3 * n
 
 
-def decode(b: bytes | None) -> list[dict]:
-    """The frames of one file as dicts of SCHEMA's columns without id; never raises on any bytes."""
-    if not b:
-        return [{"error": "empty"}]
-    if b[:6] not in (b"GIF87a", b"GIF89a") or len(b) < 13:
-        return [{"error": "header"}]
-    w, h = b[6] | b[7] << 8, b[8] | b[9] << 8
-    common = {"canvas_width": w, "canvas_height": h, "loops": 1}
-    if not 0 < w * h <= MAX_PIXELS:
-        return [common | {"error": "canvas"}]
+@dataclass
+class _Image:
+    """One image block as the file holds it."""
+
+    left: int
+    top: int
+    width: int
+    height: int
+    flags: int
+    palette: np.ndarray | None
+    min_size: int
+    data: tuple[int, int]
+    disposal: int
+    delay: int
+    clear: int
+
+
+def _images(b: bytes) -> tuple[np.ndarray | None, int, list[_Image], str | None]:
+    """(shared palette, loops, images, why the file ends early); nothing is decoded yet."""
     shared, i = _palette(b, 13, b[10])
-    canvas = np.zeros((h, w, 4), np.uint8)
-    out: list[dict] = []
-    disposal, delay, clear_at, clock, problem = 0, 0, -1, 0, "truncated"
+    out: list[_Image] = []
+    loops, disposal, delay, clear, problem = 1, 0, 0, -1, "truncated"
     while i < len(b):
         kind = b[i]
         if kind == 0x3B:
@@ -159,61 +168,99 @@ def decode(b: bytes | None) -> list[dict]:
             label = b[i + 1]
             data, i, whole = _blocks(b, i + 2)
             if label == 0xF9 and len(data) >= 4:
-                disposal, delay, clear_at = data[0] >> 2 & 7, data[1] | data[2] << 8, data[3] if data[0] & 1 else -1
+                disposal, delay, clear = data[0] >> 2 & 7, data[1] | data[2] << 8, data[3] if data[0] & 1 else -1
             elif label == 0xFF and data[:11] == b"NETSCAPE2.0" and len(data) >= 14 and data[11] == 1:
-                common["loops"] = data[12] | data[13] << 8
+                loops = data[12] | data[13] << 8
             if not whole:
                 break
             continue
         if kind != 0x2C or i + 11 > len(b):
             break
-        x, y, fw, fh = (b[i + k] | b[i + k + 1] << 8 for k in (1, 3, 5, 7))
-        packed = b[i + 9]
-        own, i = _palette(b, i + 10, packed)
+        place = [b[i + k] | b[i + k + 1] << 8 for k in (1, 3, 5, 7)]
+        flags = b[i + 9]
+        own, i = _palette(b, i + 10, flags)
         if i >= len(b):
             break
-        min_size = b[i]
-        data, i, whole = _blocks(b, i + 1)
-        table, error = own if own is not None else shared, None
-        before = canvas.copy() if disposal == 3 else None
-        y1, x1 = min(y + fh, h), min(x + fw, w)
-        if table is None:
+        min_size, start = b[i], i + 1
+        i = start
+        while i < len(b) and b[i]:
+            i += 1 + b[i]
+        out.append(_Image(*place, flags, own if own is not None else shared, min_size, (start, min(i + 1, len(b))), disposal, delay, clear))
+        disposal, delay, clear = 0, 0, -1
+        if i >= len(b):
+            break
+        i += 1
+    return shared, loops, out, problem
+
+
+def _bins(colours: np.ndarray) -> np.ndarray:
+    """Histogram of packed RGBA; what is transparent isn't counted."""
+    c = colours[colours >> 24 > 0]
+    return np.bincount((c >> 2 & 0x30) | (c >> 12 & 0x0C) | (c >> 22 & 0x03), minlength=BINS)
+
+
+def decode_frames(b: bytes | None) -> Iterator[dict]:
+    """The frames of one file, one by one, as dicts of SCHEMA's columns without id; never raises on any bytes."""
+    if not b:
+        yield {"error": "empty"}
+        return
+    if b[:6] not in (b"GIF87a", b"GIF89a") or len(b) < 13:
+        yield {"error": "header"}
+        return
+    w, h = b[6] | b[7] << 8, b[8] | b[9] << 8
+    common = {"canvas_width": w, "canvas_height": h, "loops": 1}
+    if not 0 < w * h <= MAX_PIXELS:
+        yield common | {"error": "canvas"}
+        return
+    _, loops, images, problem = _images(b)
+    common["loops"] = loops
+    if not images:
+        yield common | {"error": "no image"}
+        return
+    canvas = np.zeros((h, w), np.uint32)  # RGBA, red in the lowest byte
+    total, clock = np.zeros(BINS, np.int64), 0
+    for n, im in enumerate(images):
+        x, y, fw, fh = im.left, im.top, im.width, im.height
+        y1, x1, error = min(y + fh, h), min(x + fw, w), None
+        inside = y < y1 and x < x1
+        region = canvas[y:y1, x:x1] if inside else canvas[:0]
+        before = region.copy()
+        if im.palette is None:
             error = "palette"
         elif fw * fh > MAX_PIXELS:
             error = "canvas"
         else:
-            px, error = lzw(data, min_size, fw * fh)
-            full = np.zeros(fw * fh, np.uint8)
-            full[: len(px)] = px
-            show = np.arange(fw * fh) < len(px)
-            if clear_at >= 0:
-                show &= full != clear_at
-            full, show = full.reshape(fh, fw), show.reshape(fh, fw)
-            if packed & 0x40:
+            px, error = lzw(_blocks(b, im.data[0])[0], im.min_size, fw * fh)
+            got = len(px)
+            if got < fw * fh:
+                px = np.concatenate((px, np.zeros(fw * fh - got, np.uint8)))
+            full = px.reshape(fh, fw)
+            show = None if got == fw * fh else (np.arange(fw * fh) < got).reshape(fh, fw)
+            if im.clear >= 0:
+                show = full != im.clear if show is None else show & (full != im.clear)
+            if im.flags & 0x40 and fh:
                 rows = np.concatenate([np.arange(s, fh, d) for s, d in ((0, 8), (4, 8), (2, 4), (1, 2))])
                 inverse = np.argsort(rows)
-                full, show = full[inverse], show[inverse]
-            if y < y1 and x < x1:
-                full, show = full[: y1 - y, : x1 - x], show[: y1 - y, : x1 - x]
-                region = canvas[y:y1, x:x1]
-                region[show, :3] = table[full[show]]
-                region[show, 3] = 255
-        seen = canvas[canvas[:, :, 3] > 0] >> 6
-        bins = np.bincount((seen[:, 0] << 4) | (seen[:, 1] << 2) | seen[:, 2], minlength=BINS)
-        out.append({"frame": len(out), "left": x, "top": y, "width": fw, "height": fh, "start_cs": clock, "delay_cs": delay, "disposal": disposal, "transparent": clear_at >= 0, "interlaced": bool(packed & 0x40), "visible": len(seen), "histogram": bins.tolist(), "rgba": canvas.tobytes(), "error": error})
-        clock += delay
-        if disposal == 2:
-            canvas[y:y1, x:x1] = 0
-        elif disposal == 3:
-            canvas = before
-        disposal, delay, clear_at = 0, 0, -1
-        if not whole:
-            break
-    if not out:
-        return [common | {"error": "no image"}]
-    if problem and out[-1]["error"] is None:
-        out[-1]["error"] = problem
-    return [common | x | {"n_frames": len(out)} for x in out]
+                full, show = full[inverse], show if show is None else show[inverse]
+            if inside:
+                new = im.palette[full[: y1 - y, : x1 - x]]
+                if show is None:
+                    region[:] = new
+                else:
+                    np.copyto(region, new, where=show[: y1 - y, : x1 - x])
+        total = total - _bins(before) + _bins(region)
+        if n == len(images) - 1 and problem and error is None:
+            error = problem
+        yield common | {"n_frames": len(images), "frame": n, "left": x, "top": y, "width": fw, "height": fh, "start_cs": clock, "delay_cs": im.delay, "disposal": im.disposal, "transparent": im.clear >= 0, "interlaced": bool(im.flags & 0x40), "visible": int(total.sum()), "histogram": total.tolist(), "rgba": canvas.astype("<u4", copy=False).tobytes(), "error": error}
+        clock += im.delay
+        if im.disposal in (2, 3):
+            total = total - _bins(region)
+            region[:] = before if im.disposal == 3 else 0
+            total = total + _bins(region)
+
+
+def decode(b: bytes | None) -> list[dict]:
+    return list(decode_frames(b))
 
 
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -229,7 +276,7 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows, size = [], 0
         for i, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            for r in decode(data.as_py()):
+            for r in decode_frames(data.as_py()):
                 rows.append(r | {"id": i})
                 size += 300 + len(r.get("rgba") or b"")
                 if size > BATCH_BYTES:
@@ -245,39 +292,33 @@ def frames(df: DataFrame, id_column: str, gif_column: str) -> DataFrame:
 
 
 def lzw_encode(pixels: bytes, min_size: int) -> bytes:
-    clear = 1 << min_size
-    table: dict[bytes, int] = {bytes([i]): i for i in range(clear)}
-    nxt, width, acc, have, out, w = clear + 2, min_size + 1, clear, min_size + 1, bytearray(), b""
-    for k in range(len(pixels)):
-        c = pixels[k : k + 1]
-        if w + c in table:
-            w += c
+    clear, end, first = 1 << min_size, (1 << min_size) + 1, (1 << min_size) + 2 << 8
+    runs: list[list[int]] = [[clear << 8]]
+    codes: list[int] = []
+    table: dict[int, int] = {}  # (code, next pixel) -> code; codes are kept shifted by 8 bits
+    get, put, nxt, literal = table.get, codes.append, first, [c << 8 for c in range(256)]
+    w = literal[pixels[0]] if pixels else -1
+    for c in pixels[1:]:
+        k = w | c
+        if x := get(k):
+            w = x
             continue
-        acc |= table[w] << have
-        have += width
-        table[w + c] = nxt
-        if nxt == 1 << width and width < 12:
-            width += 1
-        nxt += 1
-        if nxt > 4095:
-            acc |= clear << have
-            have += width
-            table = {bytes([i]): i for i in range(clear)}
-            nxt, width = clear + 2, min_size + 1
-        while have >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            have -= 8
-        w = c
-    if w:
-        acc |= table[w] << have
-        have += width
-        nxt += 1
-        if nxt > 1 << width and width < 12:
-            width += 1
-    acc |= (clear + 1) << have
-    have += width
-    return bytes(out) + acc.to_bytes((have + 7) // 8, "little")
+        put(w)
+        table[k] = nxt
+        nxt += 256
+        w = literal[c]
+        if nxt > 4095 << 8:
+            runs.append([*codes, clear << 8])
+            codes.clear()
+            table.clear()
+            nxt = first
+    if w >= 0:
+        codes.append(w)
+    runs.append([*codes, end << 8])
+    flat = (np.array([c for r in runs for c in r], np.uint32) >> 8).astype(np.uint16)
+    width = np.concatenate([_schedule(min_size, len(r))[1] for r in runs])
+    bits = np.unpackbits(flat.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(bits[np.arange(16)[None, :] < width[:, None]], bitorder="little").tobytes()
 
 
 def encode(width: int, height: int, palette: np.ndarray, images: list[dict], loops: int = 0) -> bytes:
