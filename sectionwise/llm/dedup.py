@@ -9,23 +9,27 @@
    similar to them must share one of, so that none of their pairs is missed. Within a bucket the least doc_id leads: it is a candidate
    with every member whose length and bag of words allow the similarity: texts that alike share 3/5 of all their labelled words, so a one-permutation sketch of
    BAG bytes that lies three deviations under that rules a pair out. Those members leave with their leader; the rest
-   follow a new leader, until none is left. So copies cost one candidate each, however many they are.
-   After alignment every bucket is gone through again: all its pairs that verified edges have not joined yet are
-   candidates too. So no member is dropped: there is no cap on buckets, partners or candidates.
-4. Candidates are aligned word by word: the edit distance within the band that the threshold
-   allows (furthest-reaching points for narrow bands, rows of the band for wide ones).
-   Similarity is 1 - distance / longer length; SIMILARITY or more is an edge.
+   follow a new leader, until none is left. So copies cost one candidate each, however many they are. A bucket of more than
+   BLOCK members is led block by block, then the blocks' leaders likewise, in rounds.
+   After alignment every bucket is gone through again: what verified edges have not joined to its largest group (its strays)
+   is compared with all its members, strays and members in blocks of their own, so a task holds two blocks at most.
+   So no member is dropped: there is no cap on buckets, partners or candidates. (A bucket of n texts of which no two
+   are similar still costs n^2 comparisons of BAG bytes, spread over (n/BLOCK)^2 tasks.)
+4. Candidates are aligned word by word, in a band as wide as the threshold allows, whose cells are bits of one integer a column.
+   A leader's words are sent once for LED of its pairs. Similarity is 1 - distance / longer length; SIMILARITY or more is an edge.
 5. Groups are the connected components (large-star/small-star rounds over durable tables).
 
+The plan is the same at every size: no table is broadcast unless Spark finds it small by itself, and words always move by a shuffle.
+
 Defined results: null doc_id or null, empty and wordless texts are in no group (``group_id`` is their
 own doc_id; null for null) and are kept; rows that share a doc_id are one document, which any of its
-texts can link, and one row of it stays; an empty table gives an empty result; ties go to the least doc_id; other
+texts can link, and one row of it stays; very long texts are aligned whole; an empty table gives an empty result; ties go to the least doc_id; other
 columns pass through ``keep_one``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +37,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, durable, fresh, read
+from .common import discard, durable, fresh, read
 from .wordhash import buffers, chunks, mix64, word_hashes
 
-K, L, SKETCHES = 2, 3, 64
+K, L, SKETCHES = 2, 3, 96
 SIMILARITY = 0.75
 _MULT = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 BAG = 64
 #: Texts of up to so many words are paired exactly; the vectors are too few for them.
 SHORT = 26
-_CELLS = 4_000_000
+#: Members of a bucket that one task compares, and pairs of a leader that one task aligns.
+BLOCK, LED = 16_384, 64
 
 
 def labelled_kmers(h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,10 +130,15 @@ def order_sketch(g: np.ndarray, u: np.ndarray) -> np.ndarray:
     n = len(u)
     if n <= L:
         at = np.broadcast_to(np.arange(n), (SKETCHES, n))
-    elif n <= 100_000:
+    elif n <= 400:
         at = np.argpartition(_MULT[:, None] * u[None, :], L - 1, axis=1)[:, :L]
     else:
-        at = np.stack([np.argpartition(m * u, L - 1)[:L] for m in _MULT])
+        at = np.empty((SKETCHES, L), np.int64)
+        low = np.uint64((1 << 64) * 12 // n)  # some twelve values lie under it
+        for i, m in enumerate(_MULT):
+            v = m * u
+            near = np.flatnonzero(v < low)
+            at[i] = near[np.argpartition(v[near], L - 1)[:L]] if len(near) >= L else np.argpartition(v, L - 1)[:L]
     v = g[np.sort(at, axis=1)]
     acc = np.arange(SKETCHES, dtype=np.uint64)
     for i in range(v.shape[1]):
@@ -160,152 +170,188 @@ def _likely(a: int, rest: np.ndarray, n: np.ndarray, bag: np.ndarray, similarity
     return rest[pair_allowed(n[a], n[rest], bag[rest], bag[a][None, :], similarity)]
 
 
-def leader_pairs(ids: np.ndarray, n: np.ndarray, bag: np.ndarray, group: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Candidates of one bucket, ids ascending: each leader with the members that leave with it."""
-    out = []
+def leader_pairs(ids: np.ndarray, n: np.ndarray, bag: np.ndarray, similarity: float = SIMILARITY) -> tuple[list[tuple[int, int]], list[int]]:
+    """(candidates, leaders) of one block, ids ascending: each leader with the members that leave with it."""
+    out, leaders = [], []
     pool = np.arange(len(ids))
-    while len(pool) > 1:
+    while len(pool):
         a, rest = pool[0], pool[1:]
+        leaders.append(int(ids[a]))
         near = _likely(a, rest, n, bag, similarity)
-        out += [(int(ids[a]), int(x)) for x in ids[near]]
+        out += [(int(ids[a]), int(x)) for x in ids[near] if x != ids[a]]
         pool = np.setdiff1d(rest, near, assume_unique=True)
-    return out
+    return out, leaders
 
 
-def open_pairs(ids: np.ndarray, n: np.ndarray, bag: np.ndarray, group: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Candidates of one bucket, ids ascending: all pairs that are not in one group yet."""
+def open_pairs(ids: np.ndarray, n: np.ndarray, bag: np.ndarray, group: np.ndarray, role: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Candidates between the strays (role 1, 2) and the members (0, 2) of two blocks that aren't in one group."""
     out = []
-    at = np.arange(len(ids))
-    for a in at[:-1]:
-        rest = at[a + 1 :]
-        out += [(int(ids[a]), int(x)) for x in ids[_likely(a, rest[group[rest] != group[a]], n, bag, similarity)]]
+    members = np.flatnonzero(role != 1)
+    for a in np.flatnonzero(role > 0):
+        rest = members[group[members] != group[a]]
+        if role[a] == 2:
+            rest = rest[(role[rest] == 0) | (ids[rest] > ids[a])]
+        out += [(int(min(ids[a], x)), int(max(ids[a], x))) for x in ids[_likely(a, rest, n, bag, similarity)]]
     return out
 
 
-def _pairs(rule: Callable):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows key, doc_id, n, bag, group, sorted by key and doc_id."""
-
-        def emit(parts: list) -> Iterator[pa.RecordBatch]:
-            p = rule(*(np.concatenate([p[i] for p in parts]) for i in range(4)))
-            if p:
-                x = np.array(p, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+def _blocks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple]:
+    """(key, columns but ``bag``, bags) of runs of rows that are equal in the first ``keys`` columns; the bag comes last."""
+    held: list = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in range(b.num_columns - 1)]
+        bag = np.frombuffer(b"".join(x.as_buffer() for x in b.column(b.num_columns - 1)), np.uint8).reshape(-1, BAG)
+        new = np.zeros(b.num_rows, bool)
+        for c in cols[:keys]:
+            new[1:] |= c[1:] != c[:-1]
+        cut = np.concatenate(([0], np.flatnonzero(new), [b.num_rows]))
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            key = tuple(c[i] for c in cols[:keys])
+            if held and key != last:
+                yield last, *map(np.concatenate, zip(*held, strict=True))
+                held = []
+            last = key
+            held.append((*(c[i:j] for c in cols[keys:]), bag[i:j]))
+    if held:
+        yield last, *map(np.concatenate, zip(*held, strict=True))
+
+
+def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows key, block, many, doc_id, n, bag -> a, b; of buckets of many blocks also the leaders: key, a and null."""
+    for (key, _, many), ids, n, bag in _blocks(batches, 3):
+        pairs, leaders = leader_pairs(ids, n, bag)
+        leaders = leaders if many else []
+        x = np.array(pairs, np.int64).reshape(-1, 2)
+        a = np.concatenate((x[:, 0], np.array(leaders, np.int64)))
+        if len(a):
+            b = pa.concat_arrays([pa.array(x[:, 1]), pa.nulls(len(leaders), pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), key, np.int64)), pa.array(a), b], ["key", "a", "b"])
+
+
+def _strays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows key, stray block, member block, doc_id, n, group, role, bag -> a, b."""
+    for _, ids, n, group, role, bag in _blocks(batches, 3):
+        pairs = open_pairs(ids, n, bag, group, role)
+        if pairs:
+            x = np.array(pairs, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+
+def word_masks(a: list[int]) -> dict[int, int]:
+    """Bit i of a word's mask: the word is at place i."""
+    at: dict[int, list[int]] = {}
+    for i, w in enumerate(a):
+        at.setdefault(w, []).append(i)
+    out, marks = {}, np.zeros(len(a), bool)
+    for w, places in at.items():
+        if len(places) < 12:
+            x = 0
+            for i in places:
+                x |= 1 << i
+        else:
+            marks[places] = True
+            x = int.from_bytes(np.packbits(marks, bitorder="little").tobytes(), "little")
+            marks[places] = False
+        out[w] = x
+    return out
 
-        held: list = []
-        last = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, ids, n, group = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2, 4))
-            bag = np.frombuffer(b"".join(x.as_buffer() for x in b.column(3)), np.uint8).reshape(-1, BAG)
-            cut = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                if held and key[i] != last:
-                    yield from emit(held)
-                    held = []
-                last = key[i]
-                held.append((ids[i:j], n[i:j], bag[i:j], group[i:j]))
-        if held:
-            yield from emit(held)
-
-    return run
-
-
-def _rows_within(a: np.ndarray, b: np.ndarray, t: int) -> int:
-    """Edit distance if at most t, else t + 1: rows of the band, in memory of the band's width."""
-    n, m = len(a), len(b)
-    far = t + 1
-    width = 2 * t + 1
-    k = np.arange(width)
-    row = np.where((k - t >= 0) & (k - t <= m), k - t, far)  # cell k of row i is column i + k - t
-    padded = np.concatenate((np.full(t, -1, np.int64), b.astype(np.int64), np.full(t + n + 1, -1, np.int64)))
-    for i in range(1, n + 1):
-        diag = row + (padded[i - 1 : i - 1 + width] != int(a[i - 1]))
-        up = np.concatenate((row[1:], [far])) + 1
-        new = np.minimum(diag, up)
-        col = k + (i - t)
-        new[(col < 0) | (col > m)] = far
-        if 0 <= t - i < width:
-            new[t - i] = min(i, far)
-        new = np.minimum.accumulate(new - k) + k
-        new[(col < 0) | (col > m)] = far
-        row = np.minimum(new, far)
-        if row.min() > t:
-            return far
-    return int(min(row[m - n + t], far)) if abs(m - n) <= t else far
-
-
-def _points_within(a: np.ndarray, b: np.ndarray, t: int) -> int:
-    """The same by furthest-reaching points on the band's diagonals."""
-    n, m = len(a), len(b)
-    k = np.arange(-t, t + 1)
-    col = np.arange(n + 1)[None, :] + k[:, None]
-    padded = np.concatenate((b, np.zeros(1, b.dtype)))
-    ax = np.concatenate((a, np.zeros(1, a.dtype)))
-    mis = (ax[None, :] != padded[np.clip(col, 0, m)]) | (col < 0) | (col >= m)
-    mis[:, n] = True
-    stop = np.where(mis, np.arange(n + 1)[None, :], n + 1)
-    stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
-    goal = m - n + t
-    idx = np.arange(2 * t + 1)
-    low = np.full(1, -(1 << 40))
-    f = np.full(2 * t + 1, -(1 << 40))
-    f[t] = stop[t, 0]
-    for d in range(t + 1):
-        if d:
-            f = np.maximum(np.maximum(f + 1, np.concatenate((low, f[:-1]))), np.concatenate((f[1:], low)) + 1)
-            f = np.minimum(f, np.minimum(n, m - k))
-            ok = (f >= 0) & (f + k >= 0)
-            f = np.where(ok, stop[idx, np.clip(f, 0, n)], -(1 << 40))
-        if f[goal] >= n:
-            return d
-    return t + 1
 
+def _band(masks: dict[int, int], skip: int, n: int, b: list[int], t: int) -> int:
+    """Edit distance of b and the n words from ``skip`` on whose masks are given, if at most t, else more than t.
 
-def edit_within(a: np.ndarray, b: np.ndarray, limit: int) -> int:
-    """Edit distance of two arrays if at most ``limit``, else limit + 1."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > limit:
+    Column by column over b; the band's 2t + 1 rows are bits: vertical steps up (vp) and down (vn). The lowest diagonal is followed
+    to the last row, then that row to its end.
+    """
+    m = len(b)
+    full = (1 << 2 * t + 1) - 1
+    vp, vn, dist, last = full ^ ((1 << t) - 1), 0, min(n, t), 2 * t
+    turn = max(0, n - t)
+    worst = t + m - turn
+    get = masks.get
+    shift = -t
+    for c in b[:turn]:
+        x = get(c)
+        if x is None:
+            d = vn
+        else:
+            x = (x >> skip + shift if shift >= 0 else x >> skip << -shift) & full
+            d = ((((x & vp) + vp) ^ vp) | x | vn) & full
+        shift += 1
+        up, down = vn | ((d | vp) ^ full), d & vp
+        if not d >> last:
+            dist += 1
+            if dist > worst:
+                return t + 1
+        d >>= 1
+        vp, vn = down | ((d | up) ^ full), d & up
+    row = n - turn - 1 + t
+    for c in b[turn:]:
+        x = get(c, 0)
+        x = (x >> skip + shift if shift >= 0 else x >> skip << -shift) & full
+        shift += 1
+        d = ((((x & vp) + vp) ^ vp) | x | vn) & full
+        up, down = vn | ((d | vp) ^ full), d & vp
+        dist += (up >> row & 1) - (down >> row & 1)
+        row -= 1
+        d >>= 1
+        vp, vn = down | ((d | up) ^ full), d & up
+    return dist
+
+
+def edit_within(a: np.ndarray, b: np.ndarray, limit: int, masks: dict[int, int] | None = None) -> int:
+    """Edit distance of two arrays if at most ``limit``, else limit + 1. ``masks`` are those of the whole of ``a``."""
+    if abs(len(b) - len(a)) > limit:
         return limit + 1
-    n = len(a)
-    p = int(np.argmin(np.append(a == b[:n], False)))
-    a, b = a[p:], b[p:]
-    n = len(a)
-    if n:
-        s = int(np.argmin(np.append((a == b[len(b) - n :])[::-1], False)))
-        a, b = a[: n - s], b[: len(b) - s]
-    if not len(a):
-        return len(b) if len(b) <= limit else limit + 1
-    t, bagged = max(8, len(b) - len(a)), False
+    short = min(len(a), len(b))
+    p = int(np.argmin(np.append(a[:short] == b[:short], False)))
+    s = int(np.argmin(np.append((a[len(a) - short + p :] == b[len(b) - short + p :])[::-1], False))) if p < short else 0
+    n, m = len(a) - p - s, len(b) - p - s
+    if not n or not m:
+        return n + m if n + m <= limit else limit + 1
+    masks = word_masks(a.tolist()) if masks is None else masks
+    middle = b[p : len(b) - s].tolist()
+    t = max(48, abs(n - m), n // 12)
     while True:
         t = min(t, limit)
-        d = _points_within(a, b, t) if (2 * t + 1) * (len(a) + 1) <= _CELLS else _rows_within(a, b, t)
+        d = _band(masks, p, n, middle, t)
         if d <= t:
             return d
-        if t >= limit:
+        if t == limit:
             return limit + 1
-        if not bagged:  # words that the other lacks each cost an edit
-            bagged = True
-            _, x = np.unique(np.concatenate((a, b)), return_inverse=True)
-            extra = np.bincount(x[len(a) :], minlength=x.max() + 1) - np.bincount(x[: len(a)], minlength=x.max() + 1)
-            least = int(np.maximum(extra, 0).sum())
-            if least > limit:
-                return limit + 1
-            t = max(t, least)
-        t *= 3
+        t *= 4
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
-            n = max(len(x), len(y))
-            out.append(1 - edit_within(x, y, int((1 - SIMILARITY) * n + 1e-9)) / n)
-        keep = pa.array(np.array(out, float) >= SIMILARITY - 1e-12) if out else pa.array([], pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"]).filter(keep)
+    """Rows a, part, b, words, sorted; b is null where the words are a's own -> a, b, similarity of the edges."""
+    own, left, masks = None, [], []
+    for batch in batches:
+        out: list[tuple[int, int, float]] = []
+        for a, part, b, w in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3), strict=True):
+            w = np.frombuffer(w.as_buffer(), np.uint32)
+            if (a, part) != own:
+                own, left, masks = (a, part), [], []
+            if b is None:  # rows that share a doc_id are texts of one document
+                left.append(w)
+                masks.append(None)
+                continue
+            best = 0.0
+            for k, x in enumerate(left):
+                n = max(len(x), len(w))
+                limit = int((1 - SIMILARITY) * n + 1e-9)
+                if min(len(x), len(w)) < n - limit:
+                    continue
+                masks[k] = word_masks(x.tolist()) if masks[k] is None else masks[k]
+                d = edit_within(x, w, limit, masks[k])
+                if d <= limit:
+                    best = max(best, 1 - d / n)
+            if best >= SIMILARITY - 1e-12:
+                out.append((a, b, best))
+        if out:
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "similarity"])
 
 
 def _word_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +374,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = Window.partitionBy("u")
         small = big.withColumn("m", F.min("v").over(down))
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        e = durable(small, "cc")
+        e, old = durable(small, "cc"), e
+        discard(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("group"))
@@ -337,17 +384,51 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, x: DataFrame) -> DataFrame:
     """The pairs a, b (durable) whose texts in ``x`` align: a, b, similarity."""
-    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("d_")).distinct(), "dedup-ids")
-    if ids.count() <= BROADCAST_ROWS:
-        texts = x.join(F.broadcast(ids), F.col("doc_id") == F.col("d_"), "left_semi").mapInArrow(_word_bytes, "doc_id long, words binary")
-    else:  # words are moved rather than texts
-        texts = x.mapInArrow(_word_bytes, "doc_id long, words binary").join(ids, F.col("doc_id") == F.col("d_"), "left_semi")
-    texts = durable(texts, "dedup-words")
-    left = texts.select(F.col("doc_id").alias("a_"), F.col("words").alias("aw"))
-    right = texts.select(F.col("doc_id").alias("b_"), F.col("words").alias("bw"))
-    joined = pairs.join(left, F.col("a") == F.col("a_")).select("a", "b", "aw").join(right, F.col("b") == F.col("b_")).select("a", "b", "aw", "bw")
-    joined = joined.where("length(aw) > 0 and length(bw) > 0")
-    return joined.mapInArrow(_align, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    many = pairs.groupBy(F.col("a").alias("m_")).agg(F.ceil(F.count("*") / F.lit(LED)).alias("parts"))
+    parted = pairs.join(many, F.col("a") == F.col("m_")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    wanted = parted.select(F.col("b").alias("id_"), "a", "part", "b").union(parted.select(F.col("a").alias("id_"), "a", "part", F.lit(None).cast("long").alias("b")).distinct())
+    texts = x.mapInArrow(_word_bytes, "doc_id long, words binary").where("length(words) > 0")
+    sent = texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("id_")).select("a", "part", "b", "words")
+    aligned = sent.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(_align, "a long, b long, similarity double")
+    return aligned.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
+def _blocked(members: DataFrame, salt: int) -> DataFrame:
+    """members: key, d_ -> also block and whether its bucket has many."""
+    sizes = members.groupBy(F.col("key").alias("k_")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")).where("blocks > 1")
+    x = members.join(sizes, F.col("key") == F.col("k_"), "left")
+    return x.select("key", F.coalesce(F.pmod(F.xxhash64("d_", F.lit(salt)), F.col("blocks")), F.lit(0)).cast("long").alias("block"), F.col("k_").isNotNull().alias("many"), "d_")
+
+
+def led_pairs(met: DataFrame, reps: DataFrame) -> DataFrame:
+    """Candidates a, b (durable) of the leaders of the buckets met: key, d_."""
+    found, members, n, salt = None, met, None, 0
+    while True:
+        full = _blocked(members, salt).join(reps, F.col("d_") == F.col("doc_id")).select("key", "block", "many", "doc_id", "n", "bag")
+        out = durable(full.repartition("key", "block").sortWithinPartitions("key", "block", "doc_id").mapInArrow(_lead, "key long, a long, b long"), "dedup-led")
+        pairs = out.where("b is not null").select("a", "b")
+        found = pairs if found is None else found.union(pairs)
+        leaders = out.where("b is null").select("key", F.col("a").alias("d_")).distinct()
+        left = leaders.count()
+        # blocks of texts that aren't alike have as many leaders as members: strays_pairs compares them
+        if not left or (n is not None and 2 * left > n) or leaders.groupBy("key").count().where(F.col("count") > 1).isEmpty():
+            return durable(found.distinct(), "dedup-pairs")
+        members, n, salt = leaders, left, salt + 1
+
+
+def stray_pairs(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """Candidates a, b between the strays of a bucket and all its members: key, d_, group."""
+    sizes = members.groupBy("key", "group").agg(F.count("*").alias("c")).groupBy(F.col("key").alias("k_")).agg(F.sum("c").alias("all"), F.max(F.struct("c", "group")).alias("most"))
+    sizes = sizes.where(F.col("all") > F.col("most.c")).select("k_", F.col("most.group").alias("main"), F.ceil(F.col("all") / BLOCK).alias("of"), F.ceil((F.col("all") - F.col("most.c")) / BLOCK).alias("odd"))
+    x = members.join(sizes, F.col("key") == F.col("k_")).withColumn("stray", F.col("group") != F.col("main"))
+    one = F.col("of") == 1
+    block, own = F.pmod(F.xxhash64("d_"), F.col("of")), F.pmod(F.xxhash64("d_", F.lit(1)), F.col("odd"))
+    zero = F.lit(0).cast("long")
+    as_member = F.transform(F.sequence(zero, F.col("odd") - 1), lambda i: F.struct(i.alias("s"), block.alias("i"), F.when(one & F.col("stray"), 2).otherwise(0).alias("role")))
+    as_stray = F.when(F.col("stray") & ~one, F.transform(F.sequence(zero, F.col("of") - 1), lambda i: F.struct(own.alias("s"), i.alias("i"), F.lit(1).alias("role")))).otherwise(F.array())
+    rows = x.select("key", "d_", "group", F.explode(F.concat(as_member, as_stray)).alias("r")).select("key", "d_", "group", "r.*")
+    full = rows.join(reps, F.col("d_") == F.col("doc_id")).select("key", "s", "i", "doc_id", "n", "group", "role", "bag")
+    return full.repartition("key", "s", "i").sortWithinPartitions("key", "s", "i", "doc_id").mapInArrow(_strays, "a long, b long").where("a <> b").distinct()
 
 
 def near_edges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -359,22 +440,14 @@ def near_edges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = durable(reps, "dedup-reps")
     rows = reps.select("doc_id", F.posexplode("sk").alias("band", "v")).select("doc_id", F.expr("shiftleft(cast(band as bigint), 32) | (cast(v as bigint) & 4294967295)").alias("key"))
     rows = rows.union(reps.select("doc_id", F.explode("grams").alias("key")))
-    w = Window.partitionBy("key").orderBy("doc_id")
-    met = rows.select("*", (F.lag("doc_id").over(w).isNotNull() | F.lead("doc_id").over(w).isNotNull()).alias("met")).where("met").select(F.col("doc_id").alias("d_"), "key")
-    met = durable(met, "dedup-buckets")
+    shared = rows.groupBy(F.col("key").alias("k_")).agg(F.count("*").alias("c")).where("c > 1").select("k_")
+    met = durable(rows.join(shared, F.col("key") == F.col("k_")).select(F.col("doc_id").alias("d_"), "key").distinct(), "dedup-buckets")
     reps = reps.select("doc_id", "n", "bag")
-
-    def candidates(members: DataFrame, rule: Callable) -> DataFrame:
-        full = members.join(reps, F.col("d_") == F.col("doc_id")).select("key", "doc_id", "n", "bag", "group")
-        return full.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_pairs(rule), "a long, b long").where("a <> b").distinct()
-
-    led = durable(candidates(met.withColumn("group", F.col("d_")), leader_pairs), "dedup-pairs")
+    led = led_pairs(met, reps)
     edges = durable(_verified(led, x), "dedup-edges")
     joined = components(edges).select(F.col("node").alias("n_"), "group")
     members = met.join(joined, F.col("d_") == F.col("n_"), "left").select("key", "d_", F.coalesce("group", "d_").alias("group"))
-    every = Window.partitionBy("key")
-    members = members.select("*", (F.min("group").over(every) < F.max("group").over(every)).alias("open")).where("open").drop("open")
-    late = candidates(members, open_pairs).join(led.select(F.col("a").alias("a_"), F.col("b").alias("b_")), (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")), "left_anti")
+    late = stray_pairs(members, reps).join(led.select(F.col("a").alias("a_"), F.col("b").alias("b_")), (F.col("a") == F.col("a_")) & (F.col("b") == F.col("b_")), "left_anti")
     edges = edges.union(_verified(durable(late, "dedup-pairs"), x))
     copies = signed.join(first.select(F.col("digest").alias("g_"), "rep"), F.col("digest") == F.col("g_")).select("doc_id", "rep")
     return durable(copies, "dedup-copies"), durable(edges, "dedup-edges")
@@ -389,14 +462,14 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group: that of least doc_id. All columns pass through."""
-    drop = groups(docs).where("doc_id <> group_id").select(F.col("doc_id").alias("__dropped"))
-    x = docs.join(drop, F.col("doc_id").cast("long") == F.col("__dropped"), "left_anti")
+    dropped, again_, n_ = fresh(docs, "__dropped", "__again", "__n")
+    drop = groups(docs).where("doc_id <> group_id").select(F.col("doc_id").alias(dropped))
+    x = docs.join(drop, F.col("doc_id").cast("long") == F.col(dropped), "left_anti")
     has_words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit("[\\p{L}\\p{N}]")) > 0, F.lit(False))
-    (n_,) = fresh(docs, "__n")
-    again = durable(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("__again")), "dedup-again")
+    again = durable(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias(again_)), "dedup-again")
     if not again.count():
         return x
-    hit = F.col("doc_id") == F.col("__again")
+    hit = F.col("doc_id") == F.col(again_)
     once = x.join(again, hit, "left_anti")
     more = x.join(again, hit, "left_semi")
     first = more.where(has_words).withColumn(n_, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))).where(F.col(n_) == 1).drop(n_)

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sectionwise.llm import cdx, chat, dedup, gif, packing, quality, tokenbin, toxicity
+from sectionwise.llm import cdx, chat, gif, packing, quality, tokenbin, toxicity
 from sectionwise.llm.wordhash import buffers
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, D_ string"
@@ -198,97 +198,6 @@ def test_chat_bad_rows(spark):
     assert chat.flatten(d.limit(0)).count() == 0
 
 
-def brute_edit(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
-def test_edit_within():
-    rng = np.random.default_rng(2)
-    for _ in range(150):
-        a, b = rng.integers(0, 4, rng.integers(1, 30)), rng.integers(0, 4, rng.integers(1, 30))
-        t, d = int(rng.integers(0, 20)), brute_edit(a, b)
-        assert dedup.edit_within(a, b, t) == min(d, t + 1)
-
-
-def test_near_dedup_groups_and_recall(spark):
-    rng = np.random.default_rng(4)
-    base = [words(rng, 120) for _ in range(30)]
-    texts, want = [" ".join(b) for b in base], []
-    for i, b in enumerate(base[:20]):
-        c = list(b)
-        for k in rng.choice(120, 8, replace=False):
-            c[k] = "changed"
-        want.append((i, len(texts)))
-        texts.append(" ".join(c))
-    texts += [texts[0], "", "short one", "short one"]
-    d = docs(spark, texts)
-    g = {r["doc_id"]: r["group_id"] for r in dedup.groups(d).collect()}
-    assert sum(g.get(b) == a for a, b in want) >= 0.9 * len(want)
-    assert g[50] == 0 and g[53] == 52 and not any(20 <= k < 30 for k in g)
-    kept = dedup.keep_one(d)
-    assert kept.columns == d.columns and {None, 51} <= {r["doc_id"] for r in kept.collect()}
-    assert dedup.keep_one(d.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("n", [4, 5, 8, 12, 20, 27, 60, 200])
-def test_near_dedup_recall_by_length(spark, n):
-    rng = np.random.default_rng(n)
-    texts, want = [], []
-    for lost in range(int(np.ceil(0.15 * n)), int(0.25 * n) + 1):
-        for _ in range(60 if n < 60 else 20):
-            b = [f"v{x}" for x in rng.integers(0, 20_000, n)]
-            c = list(b)
-            for k in rng.choice(n, lost, replace=False):
-                c[k] = f"x{rng.integers(0, 20_000)}"
-            if 0.75 <= 1 - brute_edit(b, c) / n <= 0.85:
-                want.append((len(texts), len(texts) + 1))
-                texts += [" ".join(b), " ".join(c)]
-    got = {(r["a"], r["b"]) for r in dedup.near_edges(docs(spark, texts))[1].collect()}
-    assert len(want) >= 40 and sum(p in got for p in want) >= (1 if n <= 26 else 0.9) * len(want)
-
-
-def test_near_dedup_chains_of_drifting_copies(spark):
-    rng = np.random.default_rng(13)
-    texts = []
-    for _ in range(60):  # A and C are not similar; B, which is close to A, links C
-        b = [f"v{x}" for x in rng.integers(0, 20_000, 200)]
-        at = rng.permutation(200)
-        a, c = list(b), list(b)
-        for i, k in enumerate(at[:53]):
-            (a if i < 4 else c)[k] = f"x{rng.integers(0, 20_000)}"
-        texts += [a, b, c]
-    g = {r["doc_id"]: r["group_id"] for r in dedup.groups(docs(spark, [" ".join(t) for t in texts])).collect()}
-    assert sum(g.get(i + 2) == i for i in range(0, 180, 3)) >= 0.9 * 60
-
-
-def test_near_dedup_short_texts_against_all_pairs(spark):
-    rng = np.random.default_rng(12)
-    texts = []
-    for _ in range(25):
-        b = [f"v{x}" for x in rng.integers(0, 30, rng.integers(2, 27))]
-        texts.append(b)
-        for _ in range(4):
-            c = list(b)
-            for _ in range(rng.integers(1, 5)):
-                k = int(rng.integers(0, len(c)))
-                c[k : k + int(rng.integers(0, 2))] = [f"v{x}" for x in rng.integers(0, 30, rng.integers(0, 2))]
-                c = c or ["v0"]
-            texts.append(c)
-    names = [" ".join(t) for t in texts]
-    d = docs(spark, names)
-    g = {r["doc_id"]: r["group_id"] for r in dedup.groups(d).collect()}
-    for i, a in enumerate(texts):
-        for j in range(i):
-            if 1 - brute_edit(a, texts[j]) / max(len(a), len(texts[j])) >= 0.75:
-                assert g.get(i, i) == g.get(j, j)
-
-
 def test_toxicity_held_out():
     rng = np.random.default_rng(6)
     texts, y = [], []
