@@ -8,11 +8,12 @@ inside words. All of them are array operations over a batch's UTF-8 bytes.
 Training takes at most TRAIN_ROWS labelled documents, those of least hash of doc_id, and divides them by hash:
 part one gives the stems (word prefixes of 3 to 9 bytes that far more toxic than clean documents
 have), part two the trees (second-order boosting on histograms), part three the calibration (pool
-adjacent violators). Scoring covers all documents by a map; the model travels with the tasks.
+adjacent violators). Stems are counted and features made by tasks; the driver gets the stems that qualify and one
+row of features a labelled document, no texts. Scoring covers all documents by a map; the model travels with the tasks.
 
 Defined results: null, empty and wordless texts score 0 and aren't toxic; a label of null is no label; several
 labels of one doc_id count as toxic if one is; without labels of both kinds the score is 0 or 1 by the built-in
-lexicon's density alone; rows are scored as often as they occur; null doc_id passes; an empty table gives
+lexicon's density alone; equal values of a feature go the same way in a tree; very long texts are read whole; rows are scored as often as they occur; null doc_id passes; an empty table gives
 no rows; other columns don't matter.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, read
+from .common import BROADCAST_ROWS, durable, read
 from .wordhash import _IS_WORD, _LOWER, _R, _R_INV, _powers, buffers, chunks, mix64, word_hashes
 
 TRAIN_ROWS = 30_000
@@ -98,18 +99,20 @@ def _unbent(b: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(b)
     p1, n1 = np.zeros_like(b), np.zeros_like(b)
     p1[1:], n1[:-1] = b[:-1], b[1:]
+    starts = rows[:-1][rows[:-1] < n]
+    p1[starts], n1[starts[1:] - 1] = 0, 0  # a row's neighbours are its own
     inner = (_IS_LETTER[p1] | _IS_SYMBOL[p1]) & (_IS_LETTER[n1] | _IS_SYMBOL[n1])
     out = np.where(inner | (_IS_SYMBOL[b] & (b >= 48) & (b < 58)), _LEET[b], b)
     out = _LOWER[out]
     sep = np.flatnonzero(_IS_SEPARATOR[b] & inner)
     keep = np.ones(n, bool)
     if len(sep):
+        row = np.searchsorted(rows, sep, side="right") - 1
         p2, n2 = b[np.maximum(sep - 2, 0)], b[np.minimum(sep + 2, n - 1)]
-        lone = (~_IS_WORD[p2] | (sep < 2)) | (~_IS_WORD[n2] | (sep + 2 >= n))
+        lone = (~_IS_WORD[p2] | (sep - 2 < rows[row])) | (~_IS_WORD[n2] | (sep + 2 >= rows[row + 1]))
         keep[sep[lone | (b[sep] == 42)]] = False
     same = np.zeros(n, bool)
     same[1:] = (out[1:] == out[:-1]) & _IS_LETTER[out[1:]] & (out[1:] < 128)
-    starts = rows[:-1][rows[:-1] < n]
     same[starts] = False
     keep &= ~same
     return out[keep], np.concatenate(([0], np.cumsum(keep)))[rows]
@@ -182,6 +185,8 @@ def features(data: np.ndarray, off: np.ndarray, learned: Table) -> np.ndarray:
     punct = _IS_PUNCT[raw]
     inner = np.zeros(len(raw), bool)
     inner[1:-1] = _IS_SYMBOL[raw[1:-1]] & _IS_LETTER[raw[:-2]] & _IS_LETTER[raw[2:]]
+    edges = rows[rows < len(raw)]
+    inner[edges], inner[edges[1:] - 1] = False, False
     stem_hits = _sums(stemmed, stem_off)
     x = [plain_squeezed * per, obfuscated * per, stem_hits * 100 / np.maximum(np.diff(stem_off), 1), plain_squeezed + obfuscated, spot, _sums(second, w) * per, _sums(near, w) * per, _sums(upper, rows) / size, _sums(punct, rows) / size, _sums(raw == 33, rows) / size, _sums(inner, rows) * per, n.astype(float)]
     return np.stack(x, 1)
@@ -275,54 +280,63 @@ class Model:
         return out
 
 
-def fit(texts: pa.Array, y: np.ndarray, part: np.ndarray) -> Model:
-    """part: 0 for stems, 1 for trees, 2 for calibration."""
-    data, off = buffers(texts)
-    y = y.astype(float)
-
-    def pick(i: int) -> np.ndarray:
-        return np.flatnonzero(part == i)
+def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows text, y -> stem, toxic and clean documents that have it; stem 0 stands for all documents."""
+    for b in batches:
+        data, off = buffers(b.column(0))
+        y = b.column(1).to_numpy(zero_copy_only=False)
+        seen: list[list[np.ndarray]] = [[], []]
+        for i, j in chunks(off):
+            h, row = stems(data, off[i : j + 1])
+            bounds = np.searchsorted(row, np.arange(j - i + 1))
+            for r in range(j - i):
+                own = h[bounds[r] : bounds[r + 1]]
+                seen[int(y[i + r] > 0)].append(np.unique(np.append(own[own > 0], np.uint64(0))))
+        for k in (0, 1):
+            if seen[k]:
+                v, n = np.unique(np.concatenate(seen[k]), return_counts=True)
+                none = np.zeros(len(v), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(n if k else none), pa.array(none if k else n)], ["stem", "toxic", "clean"])
+
+
+def _features_of(learned: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(learned)
+        for b in batches:
+            data, off = buffers(b.column(0))
+            for i, j in chunks(off):
+                x = features(data, off[i : j + 1], table)
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in (1, 2)), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(len(FEATURES)))], ["y", "part", *FEATURES])
 
-    seen: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    for r in pick(0):
-        h, _ = stems(data, off[r : r + 2])
-        seen[int(y[r])].append(np.unique(h[h > 0]))
-    learned = np.zeros(0, np.uint64)
-    if seen[1]:
-        bad, n1 = np.unique(np.concatenate(seen[1]), return_counts=True)
-        bad, n1 = bad[n1 >= STEM_TOXIC], n1[n1 >= STEM_TOXIC]
-        clean, n0 = np.unique(np.concatenate(seen[0]), return_counts=True) if seen[0] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        k = np.searchsorted(clean, bad)
-        have = np.where((k < len(clean)) & (clean[np.minimum(k, max(len(clean) - 1, 0))] == bad), n0[np.minimum(k, max(len(n0) - 1, 0))], 0) if len(clean) else np.zeros(len(bad))
-        learned = bad[n1 / len(seen[1]) >= STEM_RATIO * (have + 0.5) / max(1, len(seen[0]))]
-    model = Model(learned)
-    table = Table(learned)
-    parts = [features(data, off[i : j + 1], table) for i, j in chunks(off)] or [np.zeros((0, len(FEATURES)))]
-    x = np.concatenate(parts)
-    a, b = pick(1), pick(2)
-    if all(0 < y[i].sum() < len(i) for i in (a, b)):
-        model.trees = boost(x[a], y[a])
-        model.steps = isotonic(margin(model.trees, x[b]), y[b])
-    return model
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """A model of at most ``rows`` labelled documents."""
+    """A model of at most ``rows`` labelled documents. part: 0 for stems, 1 for trees, 2 for calibration."""
     ids = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("i_")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    ids = ids.orderBy(F.xxhash64("i_"), "i_").limit(rows)
+    turn = F.pmod(F.xxhash64("i_", F.lit("part")), F.lit(100))
+    part = F.when(turn < 40, 0).when(turn < 80, 1).otherwise(2)
+    ids = ids.orderBy(F.xxhash64("i_"), "i_").limit(rows).select("i_", "y", part.alias("part"))
     if rows <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(ids, F.col("doc_id") == F.col("i_"))
-    got = x.select("doc_id", "text", "y").toArrow()
-    doc = got.column(0).to_numpy()
-    got = got.set_column(1, "text", got.column(1).cast(pa.large_string()))
-    turn = (mix64(doc.astype(np.uint64)) % np.uint64(100)).astype(int)
-    order = np.lexsort((turn, doc))
-    part = np.digitize(turn, [40, 80])
-    y = got.column(2).to_numpy()[order] > 0
-    texts = got.column(1).take(pa.array(order)).combine_chunks()
-    del got
-    return fit(texts, y, part[order])
+    x = docs.select(F.col("doc_id").cast("long").alias("d_"), F.col("text").cast("string").alias("text")).where("text is not null").join(ids, F.col("d_") == F.col("i_"))
+    x = durable(x.select("text", "y", "part"), "toxic-sample")
+    counts = durable(x.where("part = 0").select("text", "y").mapInArrow(_count_stems, "stem long, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxic-stems")
+    whole = counts.where("stem = 0").first()
+    learned = np.zeros(0, np.uint64)
+    if whole is not None and whole["toxic"]:
+        often = F.col("toxic") / whole["toxic"] >= F.lit(STEM_RATIO) * (F.col("clean") + 0.5) / max(1, whole["clean"])
+        learned = np.sort(np.array([r["stem"] for r in counts.where((F.col("stem") != 0) & (F.col("toxic") >= STEM_TOXIC) & often).select("stem").collect()], np.int64).view(np.uint64))
+    got = x.where("part > 0").select("text", "y", "part").mapInArrow(_features_of(learned), "y int, part int, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow()
+    cols = [got.column(k).to_numpy() for k in range(got.num_columns)]
+    order = np.lexsort(cols)  # rows come as tasks end
+    y, part, m = cols[0][order].astype(float), cols[1][order], np.stack([c[order] for c in cols[2:]], 1) if len(order) else np.zeros((0, len(FEATURES)))
+    model = Model(learned)
+    a, b = np.flatnonzero(part == 1), np.flatnonzero(part == 2)
+    if all(0 < y[i].sum() < len(i) for i in (a, b)):
+        model.trees = boost(m[a], y[a])
+        model.steps = isotonic(margin(model.trees, m[b]), y[b])
+    return model
 
 
 def _scorer(model: Model):

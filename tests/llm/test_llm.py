@@ -6,8 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sectionwise.llm import cdx, chat, gif, packing, quality, tokenbin, toxicity
-from sectionwise.llm.wordhash import buffers
+from sectionwise.llm import cdx, chat, gif, packing, quality, tokenbin
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, D_ string"
 
@@ -198,32 +197,6 @@ def test_chat_bad_rows(spark):
     assert chat.flatten(d.limit(0)).count() == 0
 
 
-def test_toxicity_held_out():
-    rng = np.random.default_rng(6)
-    texts, y = [], []
-    for i in range(900):
-        w = words(rng, 80)
-        if i % 4 == 0:
-            for k in rng.choice(80, 4, replace=False):
-                w[k] = ("idiot", "1d10t", "m-o-r-o-n", "stupiiid")[int(rng.integers(0, 4))]
-        texts.append(" ".join(w))
-        y.append(i % 4 == 0)
-    y = np.array(y)
-    m = toxicity.fit(pa.array(texts[:600]), y[:600], np.arange(600) * 37 % 100 // 34)
-    data, off = buffers(pa.array(texts[600:]))
-    x = toxicity.features(data, off, toxicity.Table(m.stems))
-    assert ((m.score(x) >= 0.5) == y[600:]).mean() > 0.98
-    data, off = buffers(pa.array(["", None, "...", "x" * 300_000]))
-    assert (m.score(toxicity.features(data, off, toxicity.Table(m.stems)))[:3] == 0).all()
-
-
-def test_isotonic_is_monotone():
-    rng = np.random.default_rng(7)
-    f = rng.normal(size=400)
-    edges, p = toxicity.isotonic(f, (rng.random(400) < 1 / (1 + np.exp(-f))).astype(float))
-    assert (np.diff(p) > 0).all() and (np.diff(edges) > 0).all()
-
-
 def test_capture_index(spark):
     urls = ["http://www.a.com/x", "https://a.com:443/x#f", "a.com", "http://b.a.com:81/?q=1", None, "", "http://a.com/y\t"]
     pages = spark.createDataFrame([(i, u, f"<p>{i}") for i, u in enumerate(urls)] + [(None, "http://z.org/", None)], "page_id long, url string, html string")
