@@ -29,6 +29,7 @@ columns pass through ``keep_one``.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,7 +107,7 @@ def bags_allow(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) ->
     return same >= p * used - 3 * np.sqrt(p * (1 - p) * used)
 
 
-def pair_allowed(na: int, nb: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+def pair_allowed(na: int | np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     """bags_allow for longer texts. An edit changes two bins at most: texts of up to SHORT words are ruled out by that alone, which misses none."""
     most = np.maximum(na, nb)
     return np.where(most <= SHORT, (a != b).sum(1) <= 2 * ((1 - similarity) * most + 1e-9).astype(np.int64), bags_allow(a, b, similarity))
@@ -130,15 +131,15 @@ def order_sketch(g: np.ndarray, u: np.ndarray) -> np.ndarray:
     n = len(u)
     if n <= L:
         at = np.broadcast_to(np.arange(n), (SKETCHES, n))
-    elif n <= 400:
-        at = np.argpartition(_MULT[:, None] * u[None, :], L - 1, axis=1)[:, :L]
     else:
         at = np.empty((SKETCHES, L), np.int64)
-        low = np.uint64((1 << 64) * 12 // n)  # some twelve values lie under it
-        for i, m in enumerate(_MULT):
-            v = m * u
-            near = np.flatnonzero(v < low)
-            at[i] = near[np.argpartition(v[near], L - 1)[:L]] if len(near) >= L else np.argpartition(v, L - 1)[:L]
+        step = max(1, min(SKETCHES, 4_000_000 // n))
+        for i in range(0, SKETCHES, step):
+            p = _MULT[i : i + step, None] * u[None, :]
+            row = np.arange(len(p))
+            for k in range(L):  # the least, L times
+                at[i : i + step, k] = p.argmin(1)
+                p[row, at[i : i + step, k]] = np.iinfo(np.uint64).max
     v = g[np.sort(at, axis=1)]
     acc = np.arange(SKETCHES, dtype=np.uint64)
     for i in range(v.shape[1]):
@@ -170,17 +171,26 @@ def _likely(a: int, rest: np.ndarray, n: np.ndarray, bag: np.ndarray, similarity
     return rest[pair_allowed(n[a], n[rest], bag[rest], bag[a][None, :], similarity)]
 
 
-def leader_pairs(ids: np.ndarray, n: np.ndarray, bag: np.ndarray, similarity: float = SIMILARITY) -> tuple[list[tuple[int, int]], list[int]]:
-    """(candidates, leaders) of one block, ids ascending: each leader with the members that leave with it."""
-    out, leaders = [], []
+def leader_pairs(bucket: np.ndarray, ids: np.ndarray, n: np.ndarray, bag: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(places of candidates, a row a pair; places of leaders) of blocks that lie one after the other, ids ascending in each.
+
+    All blocks lose their next leader at once, with the members that leave with it.
+    """
+    pairs, leaders = [], []
     pool = np.arange(len(ids))
     while len(pool):
-        a, rest = pool[0], pool[1:]
-        leaders.append(int(ids[a]))
-        near = _likely(a, rest, n, bag, similarity)
-        out += [(int(ids[a]), int(x)) for x in ids[near] if x != ids[a]]
-        pool = np.setdiff1d(rest, near, assume_unique=True)
-    return out, leaders
+        new = np.ones(len(pool), bool)
+        new[1:] = bucket[pool[1:]] != bucket[pool[:-1]]
+        own = pool[new]
+        leader = np.repeat(own, np.diff(np.append(np.flatnonzero(new), len(pool))))
+        leaders.append(own)
+        rest, lead = pool[~new], leader[~new]
+        near = np.minimum(n[rest], n[lead]) >= similarity * np.maximum(n[rest], n[lead])
+        at = np.flatnonzero(near)
+        near[at] = pair_allowed(n[lead[at]], n[rest[at]], bag[lead[at]], bag[rest[at]], similarity)
+        pairs.append(np.stack([lead[near], rest[near]], 1))
+        pool = rest[~near]
+    return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64), np.concatenate(leaders) if leaders else np.zeros(0, np.int64)
 
 
 def open_pairs(ids: np.ndarray, n: np.ndarray, bag: np.ndarray, group: np.ndarray, role: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
@@ -196,45 +206,43 @@ def open_pairs(ids: np.ndarray, n: np.ndarray, bag: np.ndarray, group: np.ndarra
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple]:
-    """(key, columns but ``bag``, bags) of runs of rows that are equal in the first ``keys`` columns; the bag comes last."""
+    """(number of the block, columns but the last, bags) of whole blocks, runs of rows that are equal in the first ``keys`` columns; the bag is the last column."""
     held: list = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in range(b.num_columns - 1)]
-        bag = np.frombuffer(b"".join(x.as_buffer() for x in b.column(b.num_columns - 1)), np.uint8).reshape(-1, BAG)
-        new = np.zeros(b.num_rows, bool)
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            if b.num_rows:
+                held.append((*(b.column(c).to_numpy(zero_copy_only=False) for c in range(b.num_columns - 1)), np.frombuffer(b"".join(x.as_buffer() for x in b.column(b.num_columns - 1)), np.uint8).reshape(-1, BAG)))
+            if not held or (len(held) > 1 and all((c[0] == d[-1]) for c, d in zip(held[0][:keys], held[-1][:keys], strict=True))):
+                continue  # a block that goes on
+        if not held:
+            return
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        new = np.zeros(len(cols[0]), bool)
         for c in cols[:keys]:
             new[1:] |= c[1:] != c[:-1]
-        cut = np.concatenate(([0], np.flatnonzero(new), [b.num_rows]))
-        for i, j in zip(cut[:-1], cut[1:], strict=True):
-            key = tuple(c[i] for c in cols[:keys])
-            if held and key != last:
-                yield last, *map(np.concatenate, zip(*held, strict=True))
-                held = []
-            last = key
-            held.append((*(c[i:j] for c in cols[keys:]), bag[i:j]))
-    if held:
-        yield last, *map(np.concatenate, zip(*held, strict=True))
+        last = int(np.flatnonzero(new)[-1]) if new.any() else 0
+        end = len(new) if b is None else last
+        held = [] if b is None else [tuple(c[last:] for c in cols)]
+        if end:
+            yield np.cumsum(new[:end]), *(c[:end] for c in cols)
 
 
 def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows key, block, many, doc_id, n, bag -> a, b; of buckets of many blocks also the leaders: key, a and null."""
-    for (key, _, many), ids, n, bag in _blocks(batches, 3):
-        pairs, leaders = leader_pairs(ids, n, bag)
-        leaders = leaders if many else []
-        x = np.array(pairs, np.int64).reshape(-1, 2)
-        a = np.concatenate((x[:, 0], np.array(leaders, np.int64)))
-        if len(a):
-            b = pa.concat_arrays([pa.array(x[:, 1]), pa.nulls(len(leaders), pa.int64())])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), key, np.int64)), pa.array(a), b], ["key", "a", "b"])
+    for block, key, _, many, ids, n, bag in _blocks(batches, 3):
+        pairs, leaders = leader_pairs(block, ids, n, bag)
+        pairs, leaders = pairs[ids[pairs[:, 0]] != ids[pairs[:, 1]]], leaders[many[leaders]]
+        at = np.concatenate((pairs[:, 0], leaders))
+        if len(at):
+            b = pa.concat_arrays([pa.array(ids[pairs[:, 1]]), pa.nulls(len(leaders), pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(ids[at]), b], ["key", "a", "b"])
 
 
 def _strays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows key, stray block, member block, doc_id, n, group, role, bag -> a, b."""
-    for _, ids, n, group, role, bag in _blocks(batches, 3):
-        pairs = open_pairs(ids, n, bag, group, role)
+    for block, _, _, _, ids, n, group, role, bag in _blocks(batches, 3):
+        bounds = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
+        pairs = [p for i, j in zip(bounds[:-1], bounds[1:], strict=True) for p in open_pairs(*(c[i:j] for c in (ids, n, bag, group, role)))]
         if pairs:
             x = np.array(pairs, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
