@@ -1,20 +1,20 @@
 """A two-level index of WARC captures.
 
 1. Pages are written as WARC response records, each its own gzip member, one file a task.
-2. Captures (url key, page id, file, offset, length) are range-sorted by key over the whole data set, those of
-   one key in one file. A key is
+2. Captures (url key, page id, file, offset, length) are range-sorted by key and page over the whole data set, so that the
+   captures of a hot key spread over several files. A key is
    the host reversed, then the path and query, without scheme, ``www.``, default port and fragment:
    ``com,example,blog)/en/1?page=2``. Each sorted partition becomes a file of zlib blocks of BLOCK lines.
 3. The sparse directory has one row a block: its first key, file, offset and length.
-4. A look-up sends the queries to the key ranges of the index's files (one boundary a file).
-   A task then bisects the directory of its own range, inflates a block once for all its queries, bisects
+4. A look-up takes each distinct key once and sends it to the key ranges of the index's files that may hold it (one
+   boundary a file). A task then bisects the directory of its own range, inflates a block once for all its keys, bisects
    its lines, goes on to the next blocks while the key goes on, and range-reads the records.
 
-No task holds more of the directory than its range has: one row for BLOCK captures.
+No task holds more of the directory than its range has: one row for BLOCK captures; hits are passed on as they are found.
 
 Defined results: a null or empty url, or one without a host, has the key ``-`` and is indexed by it; repeated rows
-and equal keys are captures of their own, ordered by page id, nulls first; null html is an empty record; an empty
-table gives an empty index, in which nothing is found; a query that isn't there gives a row with null
+and equal keys are captures of their own, ordered by page id, nulls first; null html is an empty record; very long pages are
+kept whole; an empty table gives an empty index, in which nothing is found; a query that isn't there gives a row with null
 page_id; other columns don't matter.
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -130,23 +131,22 @@ def build(pages: DataFrame, block: int = BLOCK, parts: int | None = None) -> tup
     """Writes WARC files and index; gives (folder, directory: part, block, first_key, file, start, length, n)."""
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
-    x = pages.select(F.col("page_id").cast("long").alias("page_id"), _escaped(url_key(F.col("url").cast("string"))).alias("key"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"))
+    x = pages.select(F.col("page_id").cast("long").alias("page_id"), _key_of(F.col("url")).alias("key"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"))
     captures = durable(x.mapInArrow(_store(f"{folder}/data"), "page_id long, key string, warc string, start long, length long"), "captures")
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = captures.select("key", "page_id", "warc", "start", "length").repartitionByRange(n, "key").sortWithinPartitions("key", "page_id", "warc", "start")
+    ordered = captures.select("key", "page_id", "warc", "start", "length").repartitionByRange(n, "key", "page_id", "warc", "start").sortWithinPartitions("key", "page_id", "warc", "start")
     return folder, durable(ordered.mapInArrow(_blocks(f"{folder}/index", block), "part int, block int, first_key string, file string, start long, length long, n int"), "directory")
 
 
-_FOUND = "query_id long, key string, captures long, page_id long, part int, block int, warc string, start long, length long, html_bytes long, digest string"
-_KINDS = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+_FOUND = "key string, rng int, hits long, page_id long, part int, block int, warc string, start long, length long, html_bytes long, digest string"
+_KINDS = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
 
 
 def _search(folder: str, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows rng, kind, key, file, start, length, part, block: a range's blocks (kind 0) in order, then its queries (kind 1, id in start) by key."""
+        """Rows rng, kind, key, file, start, length, part, block: a range's blocks (kind 0) in order, then the keys asked for (kind 1)."""
         fs, root = pafs.FileSystem.from_uri(folder)
         rng, firsts, blocks, opened = None, [], [], (None, -1, [], [])
-        asked, answer = None, []
         handles: dict[str, object] = {}
 
         def fetch(kind: str, name: str, start: int, length: int) -> bytes:
@@ -157,54 +157,60 @@ def _search(folder: str, every: bool):
                 handles[path] = fs.open_input_file(path)
             return handles[path].read_at(length, start)
 
-        def matches(want: bytes) -> list[tuple[int, bytes]]:
+        def matches(want: bytes) -> Iterator[tuple[int, bytes]]:
             """(block, line) of the captures. Equal keys may begin in the block before the first that starts with the key."""
             nonlocal opened
-            found, k = [], max(0, bisect.bisect_left(firsts, want) - 1)
+            k = max(0, bisect.bisect_left(firsts, want) - 1)
             while k < len(blocks) and firsts[k] <= want:
                 if opened[:2] != (rng, k):
                     lines = zlib.decompress(fetch("index", *blocks[k][:3])).split(b"\n")
                     opened = (rng, k, lines, [x.partition(b"\t")[0] for x in lines])
-                i = bisect.bisect_left(opened[3], want)
-                while i < len(opened[3]) and opened[3][i] == want:
-                    found.append((k, opened[2][i]))
+                lines, keys = opened[2:]
+                i = bisect.bisect_left(keys, want)
+                while i < len(keys) and keys[i] == want:
+                    yield k, lines[i]
                     i += 1
-                if i < len(opened[3]):
+                if i < len(keys):
                     break
                 k += 1
-            return found
 
-        for b in batches:
-            out: list[tuple] = []
-            for r, kind, key, name, start, length, part, block in zip(*[b.column(i).to_pylist() for i in range(8)], strict=True):
-                if r != rng:
-                    rng, firsts, blocks, asked = r, [], [], None
-                if kind == 0:
-                    firsts.append(key.encode())
-                    blocks.append((name, start, length, part, block))
-                    continue
-                if key != asked:
-                    asked, answer = key, []
-                    hits = matches(key.encode())
-                    for k, line in hits if every else hits[-1:]:
-                        _, page, warc, s, n = line.decode().split("\t")
-                        html = payload(fetch("data", warc, int(s), int(n)))
-                        answer.append((len(hits), int(page) if page else None, *blocks[k][3:], warc, int(s), int(n), len(html), hashlib.md5(html, usedforsecurity=False).hexdigest()))
-                    answer = answer or [(0, *[None] * 8)]
-                out += [(start, key, *a) for a in answer]
-                if len(out) >= 10_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _KINDS, strict=True)], [f.split()[0] for f in _FOUND.split(", ")])
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _KINDS, strict=True)], [f.split()[0] for f in _FOUND.split(", ")])
+        def read(key: str, hits: int, k: int, line: bytes) -> tuple:
+            _, page, warc, s, n = line.decode().split("\t")
+            html = payload(fetch("data", warc, int(s), int(n)))
+            return key, rng, hits, int(page) if page else None, *blocks[k][3:], warc, int(s), int(n), len(html), hashlib.md5(html, usedforsecurity=False).hexdigest()
+
+        def found() -> Iterator[tuple]:
+            nonlocal rng, firsts, blocks
+            for b in batches:
+                for r, kind, key, name, start, length, part, block in zip(*[b.column(i).to_pylist() for i in range(8)], strict=True):
+                    if r != rng:
+                        rng, firsts, blocks = r, [], []
+                    if kind == 0:
+                        firsts.append(key.encode())
+                        blocks.append((name, start, length, part, block))
+                        continue
+                    n, last = 0, None
+                    for last in matches(key.encode()):
+                        n += 1
+                        if every:
+                            yield read(key, 1, *last)
+                    if n and not every:
+                        yield read(key, n, *last)
+
+        rows = found()
+        while out := list(itertools.islice(rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _KINDS, strict=True)], [f.split()[0] for f in _FOUND.split(", ")])
 
     return run
 
 
-def lookup(folder: str, directory: DataFrame, queries: DataFrame, every: bool = False) -> DataFrame:
-    """queries: query_id, url -> _FOUND: the number of captures of its key and the last of them, or a row for each (``every``), read from its WARC file."""
-    spark = queries.sparkSession
-    q = queries.select(F.col("query_id").cast("long").alias("query_id"), _escaped(url_key(F.col("url").cast("string"))).alias("key"))
+def _key_of(url: Column) -> Column:
+    return _escaped(url_key(url.cast("string")))
+
+
+def find(folder: str, directory: DataFrame, keys: DataFrame, every: bool) -> DataFrame:
+    """keys: distinct ``key`` -> _FOUND: a row for each capture (``every``), or for each range that has some with their number and the last of them."""
+    spark = keys.sparkSession
     # one boundary an index file: as many as spark.sql.shuffle.partitions, whatever the data's size
     files = directory.groupBy("part").agg(F.min("first_key").alias("k")).orderBy("part").collect()
     edges = spark.sparkContext.broadcast(([r["k"].encode() for r in files], [r["part"] for r in files]))
@@ -212,29 +218,42 @@ def lookup(folder: str, directory: DataFrame, queries: DataFrame, every: bool =
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firsts, parts = edges.value
         for b in batches:
-            at = [parts[max(0, bisect.bisect_right(firsts, k.encode()) - 1)] if parts else 0 for k in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), b.column(0), b.column(1)], ["rng", "query_id", "key"])
-
-    asked = q.mapInArrow(ranges, "rng int, query_id long, key string").select("rng", F.lit(1).alias("kind"), "key", F.lit("").alias("file"), F.col("query_id").alias("start"), F.lit(0).cast("long").alias("length"), F.lit(0).alias("part"), F.lit(0).alias("block"))
+            out = []
+            for k in b.column(0).to_pylist() if parts else ():
+                e = k.encode()
+                out += [(parts[i], k) for i in range(max(0, bisect.bisect_left(firsts, e) - 1), bisect.bisect_right(firsts, e))]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int32()), pa.array([k for _, k in out], pa.string())], ["rng", "key"])
+
+    long = F.lit(0).cast("long")
+    asked = keys.mapInArrow(ranges, "rng int, key string").select("rng", F.lit(1).alias("kind"), "key", F.lit("").alias("file"), long.alias("start"), long.alias("length"), F.lit(0).alias("part"), F.lit(0).alias("block"))
     own = directory.select(F.col("part").alias("rng"), F.lit(0).alias("kind"), F.col("first_key").alias("key"), "file", "start", "length", "part", "block")
-    return asked.union(own).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rng").sortWithinPartitions("rng", "kind", "key", "block", "start").mapInArrow(_search(folder, every), _FOUND)
+    return asked.union(own).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rng").sortWithinPartitions("rng", "kind", "key", "block").mapInArrow(_search(folder, every), _FOUND)
+
+
+def lookup(folder: str, directory: DataFrame, queries: DataFrame) -> DataFrame:
+    """queries: query_id, url -> query_id, key, the number of captures of its key and the last of them, read from its WARC file."""
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), _key_of(F.col("url")).alias("key"))
+    parts = find(folder, directory, q.select("key").distinct(), False)
+    last = parts.groupBy(F.col("key").alias("k_")).agg(F.sum("hits").alias("captures"), F.max_by(F.struct("page_id", "warc", "start", "length", "html_bytes", "digest"), "rng").alias("x"))
+    return q.join(last, F.col("key") == F.col("k_"), "left").select("query_id", "key", F.coalesce("captures", F.lit(0)).cast("long").alias("captures"), "x.*")
+
+
+def captures(folder: str, directory: DataFrame, urls: DataFrame) -> DataFrame:
+    """urls: url -> all captures of their keys, each once: key, page_id, html_bytes, digest as read from the WARC files."""
+    return find(folder, directory, urls.select(_key_of(F.col("url")).alias("key")).distinct(), True).select("key", "page_id", "html_bytes", "digest")
 
 
 def op10_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's URL looked up in the index of all pages: how many captures its key has, and the last one's page and content as read back."""
+    """The URL of every page looked up in the index of all pages: all captures of its key, with the content as read back."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     folder, directory = build(pages)
-    found = lookup(folder, directory, pages.select(F.col("page_id").alias("query_id"), "url"))
-    return found.select("query_id", "key", "captures", "page_id", "html_bytes", "digest")
+    return captures(folder, directory, pages.select("url"))
 
 
 def capture_sql() -> str:
-    """DuckDB SQL of op10's rows, by joining the pages to themselves."""
+    """DuckDB SQL of op10's rows."""
     return r"""
 WITH a AS (SELECT page_id, html, regexp_replace(regexp_replace(trim(coalesce(url, '')), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS u FROM pages),
-b AS (SELECT *, regexp_replace(lower(regexp_extract(u, '^(?:[^/?]*@)?([^/?:]*)', 1)), '^www\.', '') AS host, regexp_extract(u, '^(?:[^/?]*@)?[^/?:]*:([0-9]+)', 1) AS port, regexp_extract(u, '^[^/?]*(.*)$', 1) AS rest FROM a),
-c AS (SELECT page_id, html, CASE WHEN host = '' THEN '-' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || ')'
-  || CASE WHEN rest = '' THEN '/' WHEN rest LIKE '?%' THEN '/' || rest ELSE rest END END AS key FROM b),
-g AS (SELECT key, count(*) AS captures, max(page_id) AS page_id FROM c GROUP BY key)
-SELECT c.page_id AS query_id, c.key, g.captures, g.page_id, CAST(octet_length(encode(d.html)) AS BIGINT) AS html_bytes, md5(d.html) AS digest
-FROM c JOIN g ON c.key = g.key JOIN c d ON d.page_id = g.page_id"""
+b AS (SELECT *, regexp_replace(lower(regexp_extract(u, '^(?:[^/?]*@)?([^/?:]*)', 1)), '^www\.', '') AS host, regexp_extract(u, '^(?:[^/?]*@)?[^/?:]*:([0-9]+)', 1) AS port, regexp_extract(u, '^[^/?]*(.*)$', 1) AS rest FROM a)
+SELECT CASE WHEN host = '' THEN '-' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || ')'
+  || CASE WHEN rest = '' THEN '/' WHEN rest LIKE '?%' THEN '/' || rest ELSE rest END END AS key, page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS html_bytes, md5(coalesce(html, '')) AS digest FROM b"""

@@ -15,12 +15,14 @@
 
 Defined results: null or empty texts have 0 tokens and are never chosen; a null lang or source is
 its own child (weight of ``OTHER``); a null doc_id is hashed as the empty string; repeated rows have
-the same hash and are taken or left together; an empty table gives an empty result; other columns
+the same hash and are taken or left together; equal ratios of capacity to weight are ordered by name; very long texts are counted whole; an empty table gives an empty result; other columns
 pass through ``select_documents`` untouched.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,22 +31,38 @@ from .common import attach, durable, fresh, n_words, read
 SEED = "mix-7"
 BUDGET_PERCENT = 70
 MAX_EPOCHS = 2
-DOMAINS = {"web": [f"src{i}" for i in range(8)], "forum": [f"src{i}" for i in range(8, 14)], "reference": [f"src{i}" for i in range(14, 20)]}
-DOMAIN_WEIGHTS = {"web": 45, "forum": 25, "reference": 28}
-LANG_WEIGHTS = {"en": 55, "de": 15, "fr": 15, "es": 15}
-OTHER = 2
 
 
-def _weight(col: Column, table: dict[str, int]) -> Column:
-    out = F.lit(OTHER)
+@dataclass(frozen=True)
+class Tree:
+    """Sources by domain and the weights of a node among its siblings; what isn't named weighs ``other``. Weights are positive integers."""
+
+    domains: dict[str, list[str]]
+    domain_weights: dict[str, int]
+    lang_weights: dict[str, int]
+    source_weights: dict[str, int] = field(default_factory=dict)
+    other: int = 2
+    other_source: int = 1
+
+
+#: The tree of these public tables; production gives its own.
+TREE = Tree(
+    {"web": [f"src{i}" for i in range(8)], "forum": [f"src{i}" for i in range(8, 14)], "reference": [f"src{i}" for i in range(14, 20)]},
+    {"web": 45, "forum": 25, "reference": 28},
+    {"en": 55, "de": 15, "fr": 15, "es": 15},
+)
+
+
+def _weight(col: Column, table: dict[str, int], other: int) -> Column:
+    out = F.lit(other)
     for k, v in table.items():
         out = F.when(col == k, F.lit(v)).otherwise(out)
     return out.cast("long")
 
 
-def domain_of(source: Column) -> Column:
+def domain_of(source: Column, tree: Tree = TREE) -> Column:
     out = F.lit("other")
-    for k, v in DOMAINS.items():
+    for k, v in tree.domains.items():
         out = F.when(source.isin(v), F.lit(k)).otherwise(out)
     return out
 
@@ -68,26 +86,26 @@ def _share(children: DataFrame, parent: list[str]) -> DataFrame:
     return c.withColumn("b", F.when(F.col("full"), F.col("cap")).otherwise(exact)).drop("r", "cap0", "w0", "full", "stop")
 
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), domain_of(F.col("source")).alias("domain"), "lang", "source", n_words(F.col("text")).cast("long").alias("tokens"))
+def _tokens(docs: DataFrame, tree: Tree) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), domain_of(F.col("source"), tree).alias("domain"), "lang", "source", n_words(F.col("text")).cast("long").alias("tokens"))
 
 
 def order_hash(doc: Column, epoch: Column, seed: str = SEED) -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), epoch.cast("string"), F.lit(":"), doc))
 
 
-def leaf_plan(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: str = SEED, budget_tokens: int | None = None) -> DataFrame:
+def leaf_plan(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: str = SEED, budget_tokens: int | None = None, tree: Tree = TREE) -> DataFrame:
     """One row a leaf: domain, lang, source, tokens, budget, epochs (whole ones), cut (last hash of the next epoch's prefix, or null)."""
-    stats = durable(_tokens(docs).where("tokens > 0"), "mix-tokens")
+    stats = durable(_tokens(docs, tree).where("tokens > 0"), "mix-tokens")
     leaves = durable(stats.groupBy("domain", "lang", "source").agg(F.sum("tokens").alias("t")), "mix-leaves")
     total = leaves.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("x"))
     budget = F.lit(budget_tokens).cast("long") if budget_tokens is not None else F.expr(f"cast((cast(x as decimal(38,0)) * {int(budget_percent)}) div 100 as bigint)")
     root = total.select(budget.alias("b"))
-    dom = leaves.groupBy("domain").agg((F.sum("t") * max_epochs).alias("cap")).crossJoin(root).withColumn("w", _weight(F.col("domain"), DOMAIN_WEIGHTS))
+    dom = leaves.groupBy("domain").agg((F.sum("t") * max_epochs).alias("cap")).crossJoin(root).withColumn("w", _weight(F.col("domain"), tree.domain_weights, tree.other))
     dom = _share(dom, []).select("domain", "b")
-    lang = leaves.groupBy("domain", "lang").agg((F.sum("t") * max_epochs).alias("cap")).join(dom, "domain").withColumn("w", _weight(F.col("lang"), LANG_WEIGHTS))
+    lang = leaves.groupBy("domain", "lang").agg((F.sum("t") * max_epochs).alias("cap")).join(dom, "domain").withColumn("w", _weight(F.col("lang"), tree.lang_weights, tree.other))
     lang = _share(lang, ["domain"]).select(F.col("domain").alias("d2"), F.col("lang").alias("l2"), "b")
-    leaf = leaves.withColumn("cap", F.col("t") * max_epochs).join(lang, F.col("domain").eqNullSafe(F.col("d2")) & F.col("lang").eqNullSafe(F.col("l2"))).drop("d2", "l2").withColumn("w", F.lit(1).cast("long"))
+    leaf = leaves.withColumn("cap", F.col("t") * max_epochs).join(lang, F.col("domain").eqNullSafe(F.col("d2")) & F.col("lang").eqNullSafe(F.col("l2"))).drop("d2", "l2").withColumn("w", _weight(F.col("source"), tree.source_weights, tree.other_source))
     leaf = _share(leaf, ["domain", "lang"]).select("domain", "lang", "source", "t", "b", F.expr("b div t").alias("epochs"), F.expr("b % t").alias("rest"))
     leaf = durable(leaf, "mix-budget")
     small = leaf.select(F.col("domain").alias("d_"), F.col("lang").alias("l_"), F.col("source").alias("s_"), "epochs", "rest").where("rest > 0")
@@ -104,15 +122,15 @@ def leaf_plan(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, max_epochs:
     return durable(leaf.join(cuts, on, "left").select("domain", "lang", "source", F.col("t").alias("tokens"), F.col("b").alias("budget"), "epochs", "cut"), "mix-plan")
 
 
-def select_documents(docs: DataFrame, epoch_column: str | None = None, plan: DataFrame | None = None, seed: str = SEED, **plan_args) -> DataFrame:
+def select_documents(docs: DataFrame, epoch_column: str | None = None, plan: DataFrame | None = None, seed: str = SEED, tree: Tree = TREE, **plan_args) -> DataFrame:
     """The chosen rows of ``docs``, one for each epoch in which a row is chosen, with all their columns.
 
     A leaf's hashes up to its cut are chosen. A cut of three digits (nothing of its bucket fits) sorts before all hashes of that bucket, so buckets before it are.
     """
-    plan = leaf_plan(docs, seed=seed, **plan_args) if plan is None else plan
+    plan = leaf_plan(docs, seed=seed, tree=tree, **plan_args) if plan is None else plan
     d, l, s, ep, cut, dom, e = fresh(docs, "__d", "__l", "__s", "__epochs", "__cut", "__domain", epoch_column or "__epoch")
     small = plan.select(F.col("domain").alias(d), F.col("lang").alias(l), F.col("source").alias(s), F.col("epochs").alias(ep), F.col("cut").alias(cut))
-    x = docs.withColumn(dom, domain_of(F.col("source"))).where(n_words(F.col("text")) > 0)
+    x = docs.withColumn(dom, domain_of(F.col("source"), tree)).where(n_words(F.col("text")) > 0)
     x = attach(x, small, [(dom, d), ("lang", l), ("source", s)])
     h = order_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col(ep), seed)
     last = F.when(h <= F.col(cut), F.col(ep)).otherwise(F.col(ep) - 1)
@@ -128,12 +146,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _case(col: str, table: dict[str, int]) -> str:
-    return f"CASE {' '.join(f"WHEN {col} = '{k}' THEN {v}" for k, v in table.items())} ELSE {OTHER} END"
+    return f"CASE {' '.join(f"WHEN {col} = '{k}' THEN {v}" for k, v in table.items())} ELSE {TREE.other} END"
 
 
 def mixing_sql(docs: str = "documents", final: str = "SELECT doc_id, domain, lang, source, tokens, epoch FROM chosen") -> str:
     """DuckDB SQL of the same rows; ``docs`` is any table of documents."""
-    doms = " ".join(f"WHEN source IN ({', '.join(repr(s) for s in v)}) THEN '{k}'" for k, v in DOMAINS.items())
+    doms = " ".join(f"WHEN source IN ({', '.join(repr(s) for s in v)}) THEN '{k}'" for k, v in TREE.domains.items())
 
     def share(name: str, children: str, keys: list[str]) -> str:
         part = f"PARTITION BY {', '.join(keys)}" if keys else ""
@@ -152,8 +170,8 @@ def mixing_sql(docs: str = "documents", final: str = "SELECT doc_id, domain, lan
 WITH stats AS MATERIALIZED (SELECT *, CASE {doms} ELSE 'other' END AS domain, CAST(len(regexp_extract_all(text, '[^ \\n\\t\\r]+')) AS BIGINT) AS tokens FROM {docs}),
 leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS t FROM stats WHERE tokens > 0 GROUP BY ALL),
 root AS (SELECT CAST((CAST(sum(t) AS HUGEINT) * {BUDGET_PERCENT}) // 100 AS BIGINT) AS b FROM leaves),
-{share("dom", f"SELECT domain, CAST(sum(t) * {MAX_EPOCHS} AS BIGINT) AS cap, {_case('domain', DOMAIN_WEIGHTS)} AS w, (SELECT b FROM root) AS b FROM leaves GROUP BY domain", []).strip()},
-{share("lan", f"SELECT l.domain, l.lang, l.cap, {_case('l.lang', LANG_WEIGHTS)} AS w, d.b FROM (SELECT domain, lang, CAST(sum(t) * {MAX_EPOCHS} AS BIGINT) AS cap FROM leaves GROUP BY ALL) l JOIN dom d ON l.domain = d.domain", ["domain"]).strip()},
+{share("dom", f"SELECT domain, CAST(sum(t) * {MAX_EPOCHS} AS BIGINT) AS cap, {_case('domain', TREE.domain_weights)} AS w, (SELECT b FROM root) AS b FROM leaves GROUP BY domain", []).strip()},
+{share("lan", f"SELECT l.domain, l.lang, l.cap, {_case('l.lang', TREE.lang_weights)} AS w, d.b FROM (SELECT domain, lang, CAST(sum(t) * {MAX_EPOCHS} AS BIGINT) AS cap FROM leaves GROUP BY ALL) l JOIN dom d ON l.domain = d.domain", ["domain"]).strip()},
 {share("lea", f"SELECT v.domain, v.lang, v.source, v.t, v.t * {MAX_EPOCHS} AS cap, 1 AS w, n.b FROM leaves v JOIN lan n ON v.domain = n.domain AND v.lang IS NOT DISTINCT FROM n.lang", ["domain", "lang"]).strip()},
 plan AS (SELECT domain, lang, source, b // t AS epochs, b % t AS rest FROM lea),
 hashed AS (SELECT s.*, p.epochs, p.rest, md5('{SEED}:' || p.epochs || ':' || coalesce(CAST(s.doc_id AS VARCHAR), '')) AS h FROM stats s JOIN plan p

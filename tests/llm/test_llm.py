@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sectionwise.llm import cdx, chat, gif, packing, quality, tokenbin
+from sectionwise.llm import cdx, chat, gif, mixing, packing, quality, tokenbin
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, D_ string"
 
@@ -199,24 +199,65 @@ def test_chat_bad_rows(spark):
 
 def test_capture_index(spark):
     urls = ["http://www.a.com/x", "https://a.com:443/x#f", "a.com", "http://b.a.com:81/?q=1", None, "", "http://a.com/y\t"]
-    pages = spark.createDataFrame([(i, u, f"<p>{i}") for i, u in enumerate(urls)] + [(None, "http://z.org/", None)], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(i, u, f"<p>{i}", "k") for i, u in enumerate(urls)] + [(None, "http://z.org/", None, "k")], "page_id long, url string, html string, key string")
     folder, directory = cdx.build(pages, block=2, parts=2)
-    q = spark.createDataFrame([(0, "http://a.com/x"), (1, "http://none.org/"), (2, "http://b.a.com:81/?q=1"), (3, "z.org"), (4, None)], "query_id long, url string")
-    got = {r["query_id"]: (r["captures"], r["page_id"], r["html_bytes"]) for r in cdx.lookup(folder, directory, q).collect()}
-    assert got == {0: (2, 1, 4), 1: (0, None, None), 2: (1, 3, 4), 3: (1, None, 0), 4: (2, 5, 4)}
-    assert cdx.lookup(folder, directory, q, every=True).where("query_id = 0").count() == 2
+    q = spark.createDataFrame([(0, "http://a.com/x"), (0, "http://a.com/x"), (1, "http://none.org/"), (2, "http://b.a.com:81/?q=1"), (3, "z.org"), (4, None), (None, "a.com")], "query_id long, url string")
+    rows = cdx.lookup(folder, directory, q).collect()
+    got = {r["query_id"]: (r["captures"], r["page_id"], r["html_bytes"]) for r in rows}
+    assert len(rows) == 7 and got == {0: (2, 1, 4), 1: (0, None, None), 2: (1, 3, 4), 3: (1, None, 0), 4: (2, 5, 4), None: (1, 2, 4)}
+    assert sorted(r["page_id"] for r in cdx.captures(folder, directory, q).where("page_id < 2").collect()) == [0, 1]
     folder, directory = cdx.build(pages.limit(0))
-    assert {r["captures"] for r in cdx.lookup(folder, directory, q).collect()} == {0}
+    assert {r["captures"] for r in cdx.lookup(folder, directory, q).collect()} == {0} and not cdx.captures(folder, directory, q).count()
 
 
-def test_token_files_round_trip(spark):
-    texts = ["Hello world", "", None, "naïve 漢字 \U0001f600  x\n"]
-    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
-    folder, rows = tokenbin.tokenise(d)
-    m = tokenbin.Mapped(folder)
+def test_a_hot_key_spreads_over_index_files(spark):
+    pages = spark.range(600).selectExpr("id as page_id", "if(id % 3 = 0, null, concat('http://h', id % 7, '.org/', id)) as url", "concat('<p>', id) as html")
+    folder, directory = cdx.build(pages, block=10, parts=6)
+    hot = directory.where("first_key = '-'").select("part").distinct().count()
+    got = cdx.lookup(folder, directory, pages.selectExpr("page_id as query_id", "url")).collect()
+    assert hot > 1 and len(got) == 600
+    assert all((r["captures"], r["page_id"]) == ((200, 597) if r["query_id"] % 3 == 0 else (1, r["query_id"])) for r in got)
+    assert sorted(r["page_id"] for r in cdx.captures(folder, directory, pages).collect()) == list(range(600))
+
+
+def read_part(root, name):
+    off = np.fromfile(f"{root}/{name}.off", "<i8")
+    return off, np.fromfile(f"{root}/{name}.bin", "<u2")
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_token_files_against_the_encoder(spark, parts):
+    """Every document's ids are the tokenizer's own; each part's files and the offsets of the whole fit together."""
+    import os
+
+    texts = ["Hello world", "", None, "naïve 漢字 \U0001f600  x\n", "Hello world", "it's 3.14\t\r\n ", "word " * 200_000]
+    d = spark.createDataFrame([(i if i != 4 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("part", F.lit(3)).withColumn("row", F.lit(4)).unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 100 as doc_id", "text", "0 as part", "0 as row")).repartition(parts)
+    texts = {r["doc_id"]: r["text"] for r in d.collect() if r["doc_id"] is not None} | {None: "Hello world"}
+    folder, placed = tokenbin.tokenise(d)
     enc = tokenbin.Encoder(tokenbin.VOCABULARY).core
-    placed = sorted(rows.collect(), key=lambda r: (r["part"], r["row"]))
-    assert len(m) == 4 and [enc.decode(m[i].tolist()) for i in range(4)] == [texts[r["doc_id"]] or "" for r in placed]
+    rows = sorted(placed.collect(), key=lambda r: (r["part"], r["row"]))
+    assert len(rows) == len(texts) and {r["doc_id"] for r in rows} == set(texts)
+    at = 0
+    for r in rows:
+        assert r["offset"] == at and r["n_tokens"] == len(enc.encode_ordinary(texts[r["doc_id"]] or ""))
+        at += r["n_tokens"]
+    root = folder.removeprefix("file://")
+    names = sorted(x[:-4] for x in os.listdir(root) if x.endswith(".off"))
+    assert len(names) == len({r["part"] for r in rows}) and {x.rpartition(".")[2] for x in os.listdir(root)} <= {"off", "bin", "crc"}
+    k = 0
+    for name in names:
+        off, ids = read_part(root, name)
+        assert off[0] == rows[k]["offset"] and off[-1] - off[0] == len(ids)
+        for a, b in zip(off[:-1], off[1:], strict=True):
+            assert ids[a - off[0] : b - off[0]].tolist() == enc.encode_ordinary(texts[rows[k]["doc_id"]] or "")
+            k += 1
+    m = tokenbin.Mapped(folder)
+    assert len(m) == len(rows) == k and all(m[i].tolist() == enc.encode_ordinary(texts[r["doc_id"]] or "") for i, r in enumerate(rows))
+
+
+def test_token_files_of_an_empty_table(spark):
+    folder, placed = tokenbin.tokenise(spark.createDataFrame([], "doc_id long, text string"))
+    assert placed.count() == 0
 
 
 def test_hilbert_neighbours():
@@ -226,11 +267,50 @@ def test_hilbert_neighbours():
     assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
 
 
-def test_packing_covers_all_words(spark):
-    d = docs(spark, ["a b c"] * 5 + [" ".join(["w"] * 50)])
-    rows = packing.pack(d, capacity=8).collect()
-    assert sum(r["n_tokens"] for r in rows) == 5 * 4 + 51
-    assert sorted((r["seq_id"] * 8 + r["slot"]) for r in rows)[0] == 0 and max(r["n_tokens"] for r in rows) <= 8
+def slow_pack(rows, capacity):
+    """pack's rows from (doc_id, text): vectors by plain sums, one list, one cursor."""
+    import math
+
+    from sectionwise.llm.wordhash import buffers, mix64, word_hashes
+
+    keyed = []
+    for i, t in rows:
+        h, _ = word_hashes(*buffers(pa.array([t or ""])))
+        if not len(h):
+            continue
+        cell = []
+        for d in range(packing.DIMS):
+            total = sum((int(v) >> 21 * d & 0x1FFFFF) - 0x100000 for v in mix64(h))
+            cell.append(min((1 << packing.BITS) - 1, max(0, math.floor((1 << packing.BITS) / (1 + math.exp(-packing.SHARPNESS * (total / len(h) / 0x100000)))))))
+        keyed.append((int(packing.hilbert(np.array([cell]))[0]), i is not None, i, len(h) + 1))
+    out, at = [], 0
+    for key, _, i, n in sorted(keyed, key=lambda x: (x[0], x[1], x[2] or 0, x[3])):
+        done = 0
+        while done < n:
+            take = min(n - done, capacity - at % capacity)
+            out.append((at // capacity, at % capacity, i, done, take, key))
+            at, done = at + take, done + take
+    return sorted(out, key=repr)
+
+
+def test_packing_against_one_list(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(None, "a b c"), (9001, ""), (9002, None), (9003, "..."), (9004, "same text"), (9005, "same text"), (9005, "same text"), (9006, "w " * 50_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"part": F.lit(1), "tokens": F.lit(2), "at": F.lit(3), "upto": F.lit(4)}).repartition(7)
+    for capacity in (8, 2048):
+        got = sorted((tuple(r) for r in packing.pack(d, capacity).collect()), key=repr)
+        assert got == slow_pack(rows, capacity)
+    assert packing.pack(d.limit(0)).count() == 0
+
+
+def test_packed_neighbours_are_alike(spark):
+    """Documents of a topic lie next to each other far more often than by chance."""
+    rng = np.random.default_rng(17)
+    topic = rng.integers(0, 8, 600)
+    texts = [" ".join([f"t{t}w{rng.integers(0, 30)}" if rng.random() < 0.6 else f"c{rng.integers(0, 300)}" for _ in range(300)]) for t in topic]
+    got = packing.keys(docs(spark, texts)).orderBy("hilbert", "doc_id").collect()
+    order = topic[[r["doc_id"] for r in got]]
+    assert (order[1:] == order[:-1]).mean() > 0.6  # by chance an eighth
 
 
 def slow_metrics(text):
@@ -291,10 +371,55 @@ def test_quality_thresholds_change_smoothly(spark):
     assert fences == sorted(fences) and max(b - a for a, b in zip(fences[1:4], fences[2:5], strict=True)) < 40
 
 
+def slow_budget(node, budget, weights, epochs):
+    """Shares of a tree {name: subtree or tokens}: pour by weight, take back what is over, until nothing is."""
+    supply = lambda x: sum(map(supply, x.values())) if isinstance(x, dict) else x * epochs
+    caps, out, left, free = {k: supply(v) for k, v in node.items()}, {}, budget, dict(node)
+    while free:
+        total = sum(weights(k) for k in free)
+        full = [k for k in free if caps[k] * total <= left * weights(k)]
+        if not full:
+            out |= {k: left * weights(k) // total for k in free}
+            break
+        for k in full:
+            out[k] = caps[k]
+            del free[k]
+        left = budget - sum(out.values())
+    return out
+
+
+@pytest.mark.parametrize("budget", [0, 1, 100, 1_500, 3_000, 100_000])
+def test_budgets_against_a_plain_tree(spark, budget):
+    """Shortages go to siblings before ancestors, whatever the tree."""
+    tree = mixing.Tree({"d1": ["a", "b", "c"], "d2": ["e"]}, {"d1": 5, "d2": 3}, {"en": 7, "de": 2}, {"a": 4}, other=1, other_source=2)
+    tokens = {("d1", "en", "a"): 300, ("d1", "en", "b"): 20, ("d1", "en", "c"): 400, ("d1", "de", "a"): 7, ("d2", "en", "e"): 150, ("d2", None, "e"): 30, ("other", "en", None): 250, ("other", "de", "zz"): 11}
+    rows = [(i, " ".join(["w"] * n), la, so) for i, ((_, la, so), n) in enumerate(tokens.items())]
+    d = spark.createDataFrame(rows + [(99, "", "en", "a"), (None, None, None, None)], "doc_id long, text string, lang string, source string")
+    nested = {}
+    for (do, la, so), n in tokens.items():
+        nested.setdefault(do, {}).setdefault(la, {})[so] = n
+    want = {}
+    dom = slow_budget(nested, budget, lambda k: {"d1": 5, "d2": 3}.get(k, 1), 2)
+    for do, b in dom.items():
+        for la, c in slow_budget(nested[do], b, lambda k: {"en": 7, "de": 2}.get(k, 1), 2).items():
+            want |= {(do, la, so): x for so, x in slow_budget(nested[do][la], c, lambda k: {"a": 4}.get(k, 2), 2).items()}
+    got = {(r["domain"], r["lang"], r["source"]): r["budget"] for r in mixing.leaf_plan(d, budget_tokens=budget, tree=tree).collect()}
+    assert got == want
+
+
+def test_mixing_edges(spark):
+    rows = [(i, "a b c", "en", "src1") for i in range(20)] + [(3, "a b c", "en", "src1"), (None, "a b c", None, None), (None, "a b c", None, None), (40, "", "en", "src1"), (41, None, "en", "src1"), (42, "w " * 300_000, "de", "src9")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"__d": F.lit(1), "__cut": F.lit(2), "epochs": F.lit(3), "domain": F.lit(4), "h": F.lit(5)})
+    got = mixing.select_documents(d, budget_percent=1000)
+    assert got.columns == d.columns and got.count() == 2 * (len(rows) - 2)  # all there is, twice
+    part = mixing.select_documents(d, "e", budget_percent=40).collect()
+    ids = [(r["doc_id"], r["e"]) for r in part]
+    assert ids.count((3, 0)) in (0, 2) and not {40, 41} & {i for i, _ in ids}
+    assert mixing.select_documents(d.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("budget", [0, 100, 10_000])
 def test_shares_are_exact(spark, budget):
-    from sectionwise.llm import mixing
-
     d = docs(spark, ["a b c d e"] * 30)
     plan = mixing.leaf_plan(d, budget_tokens=budget).collect()
     assert sum(r["budget"] for r in plan) == min(budget, 300)
