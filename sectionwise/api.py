@@ -7,18 +7,30 @@ from pyspark.sql import functions as F
 
 from .config import EngineConfig
 from .operators.structure import chunks, is_noise
-from .sources.registry import read_lines
+from .sources.registry import read_images, read_lines
 from .store import Store
 
 
 def ingest(spark: SparkSession, paths: str | list[str], store: Store | None = None, tags: list[str] | None = None, config: EngineConfig | None = None) -> DataFrame:
-    """Structures all files of ``paths`` in one plan; with a store also saves them. Gives their chunks."""
+    """Structures all files of ``paths`` in one plan. Without a store gives their chunks, else saves them and gives document_key, id."""
     config = config or EngineConfig()
     lines = read_lines(spark, paths)
     lines = lines.where(~is_noise(F.col("line"), markdown=True, config=config))
     files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("document_key"))
     out = chunks(lines, files, config.bad_keywords)
-    if store is not None:
-        named = files.select("document_key", F.element_at(F.split("document_key", "/"), -1).alias("filename"), F.array(*[F.lit(t) for t in tags or []]).cast("array<string>").alias("tags"))
-        store.save(named, out)
-    return out
+    if store is None:
+        return out
+    named = files.select("document_key", F.element_at(F.split("document_key", "/"), -1).alias("filename"), F.array(*[F.lit(t) for t in tags or []]).cast("array<string>").alias("tags"))
+    return store.save(named, out, images=read_images(spark, paths))
+
+
+def parse_file(spark: SparkSession, path: str, store: Store | None = None, tags: list[str] | None = None, config: EngineConfig | None = None) -> dict:
+    """One file in one call: filename, chunks (a table), chunk_count and, with a store, document_id and the rendered files."""
+    name = path.rpartition("/")[2]
+    if store is None:
+        found = ingest(spark, path, config=config)
+        return {"filename": name, "chunks": found, "chunk_count": found.count()}
+    document_id = ingest(spark, path, store, tags, config).first()["id"]
+    store.render()
+    found = store._of("chunks", document_id)
+    return {"filename": name, "chunks": found, "chunk_count": found.count(), "document_id": document_id}

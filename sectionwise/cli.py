@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .api import ingest
+from .api import parse_file
 from .config import EngineConfig
 from .store import Store
 
@@ -35,11 +35,8 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if a.command == "parse":
             tags = [t.strip() for t in (a.tags or "").split(",") if t.strip()]
-            ingest(spark, a.file, store, tags, store.config)
-            name = a.file.rpartition("/")[2]
-            d = store.documents().where(f"filename = '{name.replace(chr(39), chr(39) * 2)}'").first()
-            result = {"success": True, "document_id": d["id"], "filename": d["filename"], "chunk_count": d["chunk_count"]}
-            store.render()
+            done = parse_file(spark, a.file, store, tags, store.config)
+            result = {"success": True, "document_id": done["document_id"], "filename": done["filename"], "chunk_count": done["chunk_count"]}
         elif a.command == "tag":
             store.set_tags(a.doc_id, a.tags.split(","))
             print(f"document {a.doc_id}: {a.tags}")

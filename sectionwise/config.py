@@ -7,6 +7,10 @@ import os
 import re
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import SparkSession
+
 DEFAULT_NOISE = (r"^page\s+\d+(\s+of\s+\d+)?\s*$", r"^table of contents$", r"^contents$", r"^copyright\s*(©|\(c\))?.*all rights reserved\.?$")
 BANNER = r"\b(confidential|proprietary|internal use only)\b"
 BANNER_LENGTH = 70
@@ -25,17 +29,23 @@ class EngineConfig:
     bad_keywords: tuple[str, ...] = BAD_KEYWORDS
     batch_pages: int = 50
     search_limit: int = 100
+    #: Folders a stored table is divided into; as many as keep one bucket's files readable at once.
+    buckets: int = 16
 
     def labels(self) -> dict[str, str]:
         return LABELS["zh" if self.locale.lower().startswith("zh") else "en"]
 
     def noise(self) -> list[str]:
-        """Valid patterns; a broken one is logged and left out."""
+        """Valid patterns; a broken one is logged and left out. Java's engine, which runs them, says what is valid."""
+        session = SparkSession.getActiveSession()
         out = list(DEFAULT_NOISE)
         for p in self.extra_noise:
             try:
-                re.compile(p)
+                if session is None:
+                    re.compile(p)
+                else:
+                    session._jvm.java.util.regex.Pattern.compile(p)
                 out.append(p)
-            except re.error:
+            except (re.error, Py4JJavaError, PySparkException):
                 logging.getLogger(__name__).warning("pattern left out: %s", p)
         return out

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 MARGIN, GAP, LEAST = 45.0, 25.0, 30.0
 CAPTION = "(?iuUd)^(?:Figure|Table|圖|表|Fig\\.?)\\s*\\d+(?:[.-]\\d+)?"
 IMAGE = "<!-- IMAGE: (\\{.*?\\}) -->"
@@ -22,6 +24,11 @@ def in_margins_removed(rects: DataFrame) -> DataFrame:
     return rects.where(~((F.col("y1") < MARGIN) | (F.col("y0") > F.col("page_height") - MARGIN)))
 
 
+def figure_rects(drawn: DataFrame, pictures: DataFrame) -> DataFrame:
+    """Boxes that figures are made of: drawings without furniture, and pictures that aren't in the margins."""
+    return drawings(drawn).unionByName(in_margins_removed(pictures))
+
+
 def clusters(rects: DataFrame, gap: float = GAP) -> DataFrame:
     """Bounding boxes of the connected components of each (document_key, page) where both axis gaps are at most ``gap``; a sweep along x per page."""
 
@@ -67,11 +74,11 @@ def contained_words(boxes: DataFrame, words: DataFrame, share: float = 0.8) -> D
 
 def captions(boxes: DataFrame, blocks: DataFrame, reach: float = 35.0) -> DataFrame:
     """Each box with the first text block that reads like a caption just under or over it, or a default."""
-    b, t = boxes.alias("b"), blocks.where((F.col("block_type") == 0) & F.trim("text").rlike(CAPTION)).alias("t")
+    b, t = boxes.alias("b"), blocks.where((F.col("block_type") == 0) & strip(F.col("text")).rlike(CAPTION)).alias("t")
     under, over = F.col("t.y0") - F.col("b.y1"), F.col("b.y0") - F.col("t.y1")
     on = (F.col("b.document_key") == F.col("t.document_key")) & (F.col("b.page") == F.col("t.page")) & (under.between(0, reach) | over.between(0, reach))
     x = b.join(t, on, "left").groupBy("b.document_key", "b.page", "b.box").agg(F.min_by("t.text", "t.block_no").alias("caption"))
-    return x.withColumn("caption", F.coalesce(F.trim("caption"), F.format_string("Figure Page %d Graphics %d", F.col("page"), F.col("box"))))
+    return x.withColumn("caption", F.coalesce(F.replace(strip(F.col("caption")), F.lit("\n"), F.lit(" ")), F.format_string("Figure Page %d Graphics %d", F.col("page"), F.col("box"))))
 
 
 def resolve_pages(lines: DataFrame, bookmarks: DataFrame, batch_pages: int) -> DataFrame:
@@ -101,5 +108,3 @@ def image_refs(chunks: DataFrame) -> DataFrame:
     x = x.withColumn("i", F.from_json("json", IMAGE_SCHEMA)).where("i.temp_path is not null")
     seq = F.row_number().over(Window.partitionBy("id").orderBy("pos"))
     return x.select("id", seq.alias("seq"), "i.*")
-
-

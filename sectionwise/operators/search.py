@@ -25,8 +25,8 @@ def _phrase(ts: Column, words: Column, n: int) -> Column:
     """The token array contains the phrase's tokens next to each other."""
     if n == 1:
         return F.array_contains(ts, words[0])
-    at = F.sequence(F.lit(1), F.size(ts) - n + 1)
-    return F.when(F.size(ts) >= n, F.exists(at, lambda i: F.slice(ts, i, F.lit(n)) == words)).otherwise(False)
+    around = lambda x: F.concat(F.lit(" "), F.array_join(x, " "), F.lit(" "))
+    return around(ts).contains(around(words))
 
 
 def matches(query: str, columns: tuple[str, ...] = ("title", "content"), tokenize: bool = False) -> Column | None:
@@ -77,16 +77,35 @@ def search(chunks: DataFrame, documents: DataFrame, query: str, document_id: int
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, document_id, col, positions: an inverted index to store once and prune by term."""
-    out = None
-    for c in ("title", "content"):
-        x = chunks.select(F.col("id").alias("chunk_id"), "document_id", F.lit(c).alias("col"), F.posexplode(tokens(F.col(c))).alias("pos", "term"))
-        out = x if out is None else out.unionByName(x)
-    return out.groupBy("term", "chunk_id", "document_id", "col").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    """term, chunk_id, document_id, section_number, col, positions: an inverted index, from one scan of the chunks."""
+    said = F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("terms")) for c in ("title", "content")])
+    x = chunks.select(F.col("id").alias("chunk_id"), "document_id", "section_number", F.explode(said).alias("x")).select("chunk_id", "document_id", "section_number", "x.col", F.posexplode("x.terms").alias("pos", "term"))
+    return x.groupBy("term", "chunk_id", "document_id", "section_number", "col").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+def find_phrases(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
+    """chunk_id, document_id, section_number of the chunks that have all phrases, each within one column. A phrase without terms is nowhere."""
+    if not all(phrases):
+        return index.select("chunk_id", "document_id", "section_number").where("false")
+    phrases = sorted(set(map(tuple, phrases)))
+    places: dict[str, list[tuple[int, int, int]]] = {}
+    for k, p in enumerate(phrases):
+        for at, t in enumerate(p):
+            places.setdefault(t, []).append((k, at, len(p)))
+    lists = F.lit(None)
+    for t, at in places.items():
+        lists = F.when(F.col("term") == t, F.array(*[F.struct(F.lit(k).alias("phrase"), F.lit(i).alias("at"), F.lit(n).alias("n")) for k, i, n in at])).otherwise(lists)
+    x = index.where(F.col("term").isin(list(places))).select("chunk_id", "document_id", "section_number", "col", "positions", F.explode(lists).alias("x"))
+    starts = F.when(F.col("x.n") == 1, F.array(F.lit(0))).otherwise(F.transform("positions", lambda i: i - F.col("x.at")))
+    x = x.select("chunk_id", "document_id", "section_number", "col", "x.phrase", "x.n", F.explode(starts).alias("start"))
+    # a term stands once at a place, so the rows of a start are the phrase's terms in order
+    x = x.groupBy("chunk_id", "document_id", "section_number", "col", "phrase", "n", "start").agg(F.count("*").alias("c")).where("c = n")
+    x = x.groupBy("chunk_id", "document_id", "section_number").agg(F.count_distinct("phrase").alias("k"))
+    return x.where(F.col("k") == len(phrases)).select("chunk_id", "document_id", "section_number")
 
 
 def search_postings(index: DataFrame, query: str) -> DataFrame:
-    """chunk_id, document_id of the chunks that have all keywords."""
-    words = sorted(set(keywords(query)))
-    want = F.transform(F.array(*[F.lit(w) for w in words]), lambda w: tokens(w)[0])
-    return index.where(F.array_contains(want, F.col("term"))).groupBy("chunk_id", "document_id").agg(F.count_distinct("term").alias("n")).where(F.col("n") == F.size(F.array_distinct(want))).select("chunk_id", "document_id")
+    """chunk_id, document_id of the chunks that have all keywords; one with ``_`` is a phrase."""
+    words = keywords(query)
+    phrases = index.sparkSession.range(1).select(F.array(*[tokens(F.lit(w)) for w in words] or [F.array().cast("array<string>")])).first()[0]
+    return find_phrases(index, phrases).select("chunk_id", "document_id")

@@ -22,11 +22,11 @@ _QUANTITY = _CI + "^\\d+(?:\\.\\d+)?\\s*(MHz|GHz|W|V|A|mV|mA|s|ns|ms|us|bytes|KB
 def is_noise(line: Column, markdown: bool = False, config: EngineConfig | None = None) -> Column:
     config = config or EngineConfig()
     x = strip(line)
-    out = x.rlike("(?Ud)\\.{3,}\\s*\\d+$") | ((F.length(x) <= BANNER_LENGTH) & x.rlike(_CI + BANNER) & ~x.contains("\n"))
-    for p in config.noise():
-        out = out | x.rlike(_CI + p)
+    # one alternation, as each use of x strips anew
+    every = ["(?Ud:\\.{3,}\\s*\\d+$)", *(f"(?iuUd:{p})" for p in config.noise())]
+    out = x.rlike("|".join(every)) | (F.length(x) <= BANNER_LENGTH) & x.rlike(f"(?s)^(?!.*\\n).*(?iuUd:{BANNER})")
     if not markdown:
-        out = out | (x == "") | x.rlike("(?U)^\\d+$")
+        out = out | x.rlike("(?U)^\\d*$")
     return out
 
 

@@ -1,17 +1,23 @@
 """Every query by name, and its reference SQL.
 
 The tables' texts have no headings, so the queries work on ``manual_lines``: documents cut into
-lines, some of which are turned into headings, page furniture and quantities by their position.
+lines, with headings, page furniture and quantities put before some of them by position. Every line stays whole.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import layout, render, search, structure
 from ..sources import registry
+from ..store import Store
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -24,10 +30,10 @@ _CASE = """CASE
   WHEN pos % 19 = 7 THEN substr(line, 1, 20) || ' ..... ' || CAST(pos AS STRING)
   WHEN pos % 23 = 9 THEN 'Acme Confidential'
   WHEN pos % 29 = 11 THEN '5 GHz'
-  WHEN pos % 31 = 13 THEN ''
-  ELSE line END"""
-_LINES = f"""lines AS (SELECT doc_id, pos AS line_no, CAST(1 + pos // 10 AS INT) AS page, {_CASE} AS line FROM (
-  SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)))"""
+  WHEN pos % 31 = 13 THEN '' END"""
+_LINES = f"""base AS (SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+lines AS (SELECT doc_id, 2 * pos AS line_no, CAST(1 + pos // 10 AS INT) AS page, {_CASE} AS line FROM base WHERE {_CASE} IS NOT NULL
+  UNION ALL SELECT doc_id, 2 * pos + 1, CAST(1 + pos // 10 AS INT), line FROM base)"""
 _S = "regexp_replace(line, '^[\\s]+|[\\s]+$', '', 'g')"
 _NOISE = f"""(regexp_matches({_S}, '\\.{{3,}}\\s*[0-9]+$') OR (length({_S}) <= 70 AND regexp_matches({_S}, '(?i)\\b(confidential|proprietary|internal use only)\\b'))
   OR regexp_matches({_S}, '(?i)^page\\s+[0-9]+(\\s+of\\s+[0-9]+)?\\s*$') OR lower({_S}) IN ('table of contents', 'contents') OR regexp_matches({_S}, '(?i)^copyright\\s*(©|\\(c\\))?.*all rights reserved\\.?$'))"""
@@ -73,7 +79,9 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 def manual_lines(spark: SparkSession, d: str) -> DataFrame:
     x = _read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return x.select(F.col("doc_id").alias("document_key"), F.col("pos").alias("line_no"), F.expr("cast(1 + pos div 10 as int)").alias("page"), F.expr(_CASE).alias("line"))
+    both = F.array(F.struct((2 * F.col("pos")).alias("line_no"), F.expr(_CASE).alias("line")), F.struct((2 * F.col("pos") + 1).alias("line_no"), F.col("line").alias("line")))
+    x = x.select(F.col("doc_id").alias("document_key"), F.expr("cast(1 + pos div 10 as int)").alias("page"), F.explode(both).alias("x"))
+    return x.select("document_key", "x.line_no", "page", "x.line").where("line is not null")
 
 
 def kept_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -239,6 +247,11 @@ def _(s, d):
     return _hits(s, d, "the")
 
 
+@query("search_postings_phrase", f"WITH RECURSIVE {_FIND} SELECT id AS chunk_id, document_id FROM tok WHERE {_has('and')} AND (contains(' ' || array_to_string(tt, ' ') || ' ', ' of the ') OR contains(' ' || array_to_string(ct, ' ') || ' ', ' of the '))")
+def _(s, d):
+    return search.search_postings(search.postings(stored_chunks(s, d)), "of_the and")
+
+
 @query("search_postings", f"WITH RECURSIVE {_FIND} SELECT id AS chunk_id, document_id FROM tok WHERE {_has('the')} AND {_has('and')}")
 def _(s, d):
     return search.search_postings(search.postings(stored_chunks(s, d)), "the and")
@@ -289,6 +302,81 @@ def _(s, d):
     return render.index_page(stored_chunks(s, d))
 
 
+# The store itself. Ids follow the order of names, and of chunks within a document.
+_STORED = f"""{_CHUNKS},
+numbers AS (SELECT id AS old, filename, row_number() OVER (ORDER BY filename) AS did FROM docs),
+held AS (SELECT row_number() OVER (ORDER BY n.did, c.id) AS id, n.did AS document_id, n.filename, c.section_number, c.title, c.content, c.page_start FROM chunks c JOIN numbers n ON c.document_id = n.old),
+filed AS (SELECT *, 'output/' || document_id || '/chunks/' || {_sql_file()} AS file_path FROM held)"""
+
+
+def _store(s: SparkSession, d: str) -> Store:
+    """A new store of all documents in the folder that the cluster shares."""
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base and not s.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
+    if not base:
+        base = tempfile.mkdtemp(prefix="sectionwise-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    store = Store(s, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}")
+    tags = stored_tags(s, d).groupBy(F.col("document_id").alias("t_")).agg(F.collect_list("tag").alias("tags"))
+    docs = stored_documents(s, d).join(tags, F.col("id") == F.col("t_"), "left").select(F.col("id").alias("document_key"), "filename", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    store.save(docs, structure.chunks(kept_lines(s, d), docs.select("document_key")), now="2024-01-01 00:00:00")
+    return store
+
+
+@query("store_chunks", f"WITH RECURSIVE {_STORED} SELECT id, document_id, section_number, title, content, page_start, file_path FROM filed")
+def _(s, d):
+    return _store(s, d).table("chunks")
+
+
+_SNIP = f"""hits AS (SELECT *, list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '') AS ws, ['erly', 'the'] AS want FROM filed
+  WHERE {_has('the')} AND {_has('erly')}),
+marked_ AS (SELECT *, list_transform(ws, lambda w: list_has_any({_TOK.format("w")}, want)) AS hit FROM hits),
+scored AS (SELECT *, list_filter(range(len(ws)), lambda i: hit[i + 1]) AS starts FROM marked_),
+best AS (SELECT *, coalesce(list_sort(list_transform(starts, lambda i: struct_pack(s := -len(list_intersect(want, flatten(list_transform(ws[i + 1 : i + 64], lambda w: {_TOK.format("w")})))), i := i)))[1].i, 0) AS b FROM scored),
+said AS (SELECT *, CASE WHEN b > 0 THEN '...' ELSE '' END || array_to_string(list_transform(range(b + 1, least(b + 64, len(ws)) + 1), lambda k: CASE WHEN hit[k] THEN '==' || ws[k] || '==' ELSE ws[k] END), ' ') AS text FROM best)"""
+
+
+@query("store_search", f"""WITH RECURSIVE {_STORED.replace("filed AS (SELECT *", "filed AS (SELECT *, " + _TOK.format("title") + " AS tt, " + _TOK.format("content") + " AS ct", 1)}, {_SNIP}
+SELECT id, document_id, section_number, title, page_start, file_path, filename AS document_name, CASE WHEN content = '' THEN '' WHEN text LIKE '%...' THEN text ELSE text || '...' END AS snippet FROM said""")
+def _(s, d):
+    """All hits of the stored index, with their snippets."""
+    return _store(s, d).search("the Erly", limit=2_000_000_000)
+
+
+@query("store_toc", f"""WITH RECURSIVE {_STORED} SELECT row_number() OVER (ORDER BY {_KEY}, id) AS place, document_id, id, section_number, title, page_start, file_path FROM filed WHERE document_id = 7""")
+def _(s, d):
+    return _store(s, d).toc(7).withColumn("place", F.col("place").cast("long"))
+
+
+@query("store_changes", f"""WITH RECURSIVE {_STORED}, again AS (SELECT n.filename, row_number() OVER (ORDER BY n.filename) + (SELECT count(*) FROM docs) AS did FROM numbers n JOIN documents x ON x.doc_id = n.old WHERE x.lang = 'de'),
+live AS (SELECT coalesce(a.did, n.did) AS id, n.old, n.filename, a.did IS NOT NULL AS anew FROM numbers n LEFT JOIN again a ON n.filename = a.filename),
+counted AS (SELECT l.id, l.filename, CASE WHEN anew THEN 1 ELSE (SELECT count(*) FROM chunks c WHERE c.document_id = l.old) END AS chunk_count,
+  CASE WHEN anew THEN 'new' WHEN l.id = (SELECT min(id) FROM live WHERE NOT anew) THEN 'a,b' ELSE coalesce((SELECT string_agg(tag, ',' ORDER BY tag) FROM tags t WHERE t.document_id = l.old), '') END AS tags FROM live l)
+SELECT id, filename, CAST(chunk_count AS INT) AS chunk_count, tags FROM counted WHERE id <> (SELECT max(id) FROM live WHERE NOT anew)""")
+def _(s, d):
+    """Documents and tags after German ones are saved again as one chunk, one is deleted and one gets new tags; compacted."""
+    store = _store(s, d)
+    german = _read(s, d, "documents").where("lang = 'de'").select(F.col("doc_id").alias("document_key"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("filename"), F.array(F.lit("new")).alias("tags"))
+    store.save(german, german.select("document_key", F.lit(0).alias("seg"), F.lit("0").alias("number"), F.lit("Introduction").alias("title"), F.lit("").alias("content"), F.lit(1).alias("page_start")), now="2024-01-02 00:00:00")
+    first, last = store.table("documents").where("upload_time < '2024-01-02'").agg(F.min("id"), F.max("id")).first()
+    store.delete(last)
+    store.set_tags(first, ["b", " a ", "", "b"])
+    store.compact()
+    tags = store.table("tags").groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("tags"))
+    x = store.table("documents").join(tags, F.col("id") == F.col("document_id"), "left")
+    return x.select("id", "filename", "chunk_count", F.coalesce("tags", F.lit("")).alias("tags"))
+
+
+@query("store_index_counts", f"""WITH RECURSIVE {_FIND}, terms AS (SELECT id, 'title' AS col, unnest(tt) AS t FROM tok UNION ALL SELECT id, 'content', unnest(ct) FROM tok)
+SELECT (SELECT count(*) FROM (SELECT DISTINCT id, col, t FROM terms)) AS postings, (SELECT count(DISTINCT id) FROM terms) AS indexed_chunks, (SELECT count(*) FROM chunks) AS chunks""")
+def _(s, d):
+    """The index made anew from the stored chunks."""
+    store = _store(s, d)
+    store.rebuild_index()
+    return s.createDataFrame([store.index_counts()], "postings long, indexed_chunks long, chunks long")
+
+
 # Geometry is made of integer keys.
 _RECTS = """rects AS (SELECT CAST(l_orderkey // 40 AS VARCHAR) AS document_key, CAST(l_linenumber AS INT) AS page, l_orderkey * 10 + l_linenumber AS rid,
   CAST(l_partkey * 37 % 560 AS DOUBLE) AS x0, CAST(l_suppkey * 53 % 800 AS DOUBLE) AS y0, CAST(l_partkey * 37 % 560 + l_partkey % 60 AS DOUBLE) AS x1, CAST(l_suppkey * 53 % 800 + l_orderkey % 45 AS DOUBLE) AS y1, CAST(600 AS DOUBLE) AS page_width, CAST(840 AS DOUBLE) AS page_height FROM lineitem),
@@ -323,16 +411,16 @@ def _(s, d):
     return layout.contained_words(layout.clip(x).withColumnRenamed("rid", "box"), x.withColumnRenamed("rid", "text")).drop("bbox")
 
 
-@query("caption_pick", f"""WITH {_RECTS}, boxes AS (SELECT * FROM drawn WHERE x1 - x0 >= 30 AND y1 - y0 >= 30), blocks AS (SELECT *, CASE WHEN rid % 3 = 0 THEN 'Figure ' || rid ELSE 'Text ' || rid END AS t FROM drawn)
+@query("caption_pick", f"""WITH {_RECTS}, boxes AS (SELECT * FROM drawn WHERE x1 - x0 >= 30 AND y1 - y0 >= 30), blocks AS (SELECT *, CASE WHEN rid % 3 = 0 THEN 'Figure ' || rid || ' note' ELSE 'Text ' || rid || ' note' END AS t FROM drawn)
 SELECT b.document_key, b.page, b.rid AS box, coalesce(arg_min(t.t, t.rid), 'Figure Page ' || b.page || ' Graphics ' || b.rid) AS caption FROM boxes b LEFT JOIN blocks t ON b.document_key = t.document_key AND b.page = t.page AND t.t LIKE 'Figure%' AND t.rid % 2 = 0 AND (t.y0 - b.y1 BETWEEN 0 AND 35 OR b.y0 - t.y1 BETWEEN 0 AND 35) GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY b.document_key, b.page, b.rid"))
 def _(s, d):
     x = layout.drawings(_rects(s, d))
     rid = F.col("rid")
-    blocks = x.withColumns({"block_no": rid, "block_type": (rid % 2).cast("int"), "text": F.concat(F.when(rid % 3 == 0, "Figure ").otherwise("Text "), rid.cast("string"))})
+    blocks = x.withColumns({"block_no": rid, "block_type": (rid % 2).cast("int"), "text": F.concat(F.lit("\n"), F.when(rid % 3 == 0, "Figure ").otherwise("Text "), rid.cast("string"), F.lit("\nnote\n"))})
     return layout.captions(layout.clip(x).withColumnRenamed("rid", "box"), blocks)
 
 
-_MARKS = f"""{_LINES}, b AS (SELECT doc_id, line_no AS ord, lower(regexp_replace(substr(line, 1, 12), '^[#*\\s]+|[*\\s]+$', '', 'g')) AS bt, page AS bp FROM lines WHERE line_no % 6 = 0),
+_MARKS = f"""{_LINES}, b AS (SELECT doc_id, line_no AS ord, lower(regexp_replace(line, '^[#*\\s]+|[*\\s]+$', '', 'g')) AS bt, page AS bp FROM lines WHERE line_no % 12 = 0),
 l AS (SELECT doc_id, line_no, line, CAST((page - 1) // 3 AS INT) AS batch, lower(trim(regexp_replace(line, '^[#*\\s]+|[*\\s]+$', '', 'g'))) AS h, line LIKE '#%' AS m FROM lines),
 hit AS (SELECT doc_id, line_no, arg_max(bp, k) AS bp FROM (SELECT l.doc_id, l.line_no, b.bp, length(b.bt) * 100000 - b.ord AS k FROM l JOIN b ON l.doc_id = b.doc_id AND l.m AND l.h <> '' AND (contains(l.h, b.bt) OR contains(b.bt, l.h))) GROUP BY doc_id, line_no)"""
 
@@ -340,8 +428,8 @@ hit AS (SELECT doc_id, line_no, arg_max(bp, k) AS bp FROM (SELECT l.doc_id, l.li
 @query("page_resolution", f"""WITH {_MARKS} SELECT l.doc_id, l.line_no, CAST(coalesce(last_value(CASE WHEN hit.bp > l.batch * 3 AND hit.bp <= l.batch * 3 + 3 THEN hit.bp END IGNORE NULLS) OVER (PARTITION BY l.doc_id, l.batch ORDER BY l.line_no ROWS UNBOUNDED PRECEDING), l.batch * 3 + 1) AS INT) AS page FROM l LEFT JOIN hit USING (doc_id, line_no)""")
 def _(s, d):
     x = manual_lines(s, d)
-    title = F.lower(F.regexp_replace(F.substring("line", 1, 12), "^[#*\\s]+|[*\\s]+$", ""))
-    marks = x.where("line_no % 6 = 0").select("document_key", F.col("line_no").alias("ord"), title.alias("title"), "page")
+    title = F.lower(F.regexp_replace("line", "^[#*\\s]+|[*\\s]+$", ""))
+    marks = x.where("line_no % 12 = 0").select("document_key", F.col("line_no").alias("ord"), title.alias("title"), "page")
     lines = x.select("document_key", "line_no", F.expr("cast((page - 1) div 3 as int)").alias("batch"), "line", F.col("line").startswith("#").alias("is_marked"))
     return layout.resolve_pages(lines, marks, 3).select(F.col("document_key").alias("doc_id"), "line_no", "page")
 
@@ -354,9 +442,9 @@ def _(s, d):
     return layout.image_refs(x).select("id", "seq", "temp_path", "caption")
 
 
-@query("anchor_codec", "SELECT doc_id, rtrim(translate(to_base64(encode(substr(text, 1, 50))), '+/', '-_'), '=') AS anchor, substr(text, 1, 50) AS back FROM documents")
+@query("anchor_codec", "SELECT doc_id, rtrim(translate(to_base64(encode(text)), '+/', '-_'), '=') AS anchor, text AS back FROM documents")
 def _(s, d):
-    x = _read(s, d, "documents").select("doc_id", T.anchor_encode(F.substring("text", 1, 50)).alias("anchor"))
+    x = _read(s, d, "documents").select("doc_id", T.anchor_encode(F.col("text")).alias("anchor"))
     return x.withColumn("back", T.anchor_decode(F.col("anchor")))
 
 

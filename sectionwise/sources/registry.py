@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import io
+import json
 import logging
 import re
 import xml.etree.ElementTree as ET
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 Reader = Callable[[bytes], Iterator[tuple[int, str]]]
 _READERS: dict[str, Reader] = {}
+#: Suffix -> the pictures of a file, by the name that its lines give them.
+_PICTURES: dict[str, Callable[[bytes], Iterator[tuple[str, bytes]]]] = {}
 LINES = "document_key string, line_no int, page int, line string"
 _BREAKS = re.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 
@@ -68,11 +71,41 @@ register(".htm")(_html)
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+_BLIP = "{http://schemas.openxmlformats.org/drawingml/2006/main}blip"
+_EMBED = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}embed"
+
+
+def _parts(z: zipfile.ZipFile) -> dict[str, str]:
+    """Relation -> name in the archive, of what is there."""
+    rels = "word/_rels/document.xml.rels"
+    if rels not in z.namelist():
+        return {}
+    there = set(z.namelist())
+    target = lambda t: t.lstrip("/") if t.startswith("/") else "word/" + t
+    return {e.get("Id"): name for e in ET.fromstring(z.read(rels)) if (name := target(e.get("Target", ""))) in there}
+
+
+def _docx_pictures(data: bytes) -> Iterator[tuple[str, bytes]]:
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        body, parts = ET.fromstring(z.read("word/document.xml")).find(f"{_W}body"), _parts(z)
+        names = [parts[e.get(_EMBED)] for p in (body.findall(f"{_W}p") if body is not None else ()) for e in p.iter(_BLIP) if e.get(_EMBED) in parts]
+        for n, name in enumerate(names, 1):
+            yield _picture(n, name), z.read(name)
+
+
+def _picture(n: int, name: str) -> str:
+    return f"docx_img_{n}.{name.rpartition('.')[2]}"
+
+
+_PICTURES[".docx"] = _docx_pictures
+
+
 @register(".docx")
 def _docx(data: bytes) -> Iterator[tuple[int, str]]:
-    """Body paragraphs, headings marked by style, bare numbers joined to their titles."""
+    """Body paragraphs, headings marked by style, bare numbers joined to their titles, a comment for each picture."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ET.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+        parts = _parts(z)
         names = {}
         if "word/styles.xml" in z.namelist():
             for st in ET.fromstring(z.read("word/styles.xml")).iter(f"{_W}style"):
@@ -81,9 +114,11 @@ def _docx(data: bytes) -> Iterator[tuple[int, str]]:
     lines: list[str] = []
     pictures = 0
     for p in body.findall(f"{_W}p") if body is not None else ():
-        for _ in p.iter(f"{_W}drawing"):
-            pictures += 1
-            lines.append(f'<!-- IMAGE: {{"temp_path": "image_{pictures}", "caption": "Image {pictures}", "contained_text": []}} -->')
+        for e in p.iter(_BLIP):
+            if e.get(_EMBED) in parts:
+                pictures += 1
+                meta = {"temp_path": _picture(pictures, parts[e.get(_EMBED)]), "caption": f"Document Image {pictures}", "contained_text": []}
+                lines.append(f"<!-- IMAGE: {json.dumps(meta)} -->")
         text = "".join(("\t" if e.tag == f"{_W}tab" else "\n" if e.tag in (f"{_W}br", f"{_W}cr") else e.text or "") for e in p.iter() if e.tag in (f"{_W}t", f"{_W}tab", f"{_W}br", f"{_W}cr")).strip()
         if not text:
             continue
@@ -137,6 +172,20 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select(F.col("path"), "content").mapInArrow(run, LINES)
 
 
+def read_images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """document_key, temp_path, data of the pictures that the files hold."""
+    readers = dict(_PICTURES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                reader = readers.get("." + path.rpartition(".")[2].lower())
+                for name, picture in reader(data.as_py()) if reader else ():
+                    yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([name], pa.string()), pa.array([picture], pa.binary())], ["document_key", "temp_path", "data"])
+
+    return spark.read.format("binaryFile").load(paths).select(F.col("path"), "content").mapInArrow(run, "document_key string, temp_path string, data binary")
+
+
 def html_lines(pages: DataFrame) -> DataFrame:
     """(page_id, html) -> lines."""
 

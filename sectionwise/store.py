@@ -1,28 +1,41 @@
-"""The store: Parquet files of documents, chunks and tags, and a manifest that says which are live.
+"""The store: versioned Parquet folders of documents, chunks, tags, pictures and an inverted index, and a manifest that says which are live.
 
-A commit writes new files, then publishes the next manifest by creating a file that must not exist yet;
-readers take the newest. A crash in between leaves the last version whole. One writer at a time.
+A commit writes new folders, then publishes the next manifest by a rename that fails if that manifest is there already:
+readers take the newest, and of two writers one wins and the other gets an error. A crash in between leaves the last version whole.
+
+Rows lie in folders by bucket: chunks and tags by document id, postings by term. A table of contents, a chunk's document, a scoped
+search and a term read their buckets only. A delete, or the old copy of a replaced document, is a row in ``gone`` that readers leave out;
+``compact`` rewrites the rest once. New tags rewrite one bucket.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from datetime import datetime
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import EngineConfig
-from .functions.text import strip
+from .functions.text import strip, tokens
 
-VERSION = 1
+VERSION = 2
 SCHEMAS = {
     "documents": "id long, filename string, upload_time string, chunk_count int, status string",
     "chunks": "id long, document_id long, section_number string, title string, content string, page_start int, file_path string",
     "tags": "document_id long, tag string",
+    "images": "document_id long, temp_path string, data binary",
+    "postings": "term string, chunk_id long, document_id long, section_number string, col string, positions array<int>",
+    "gone": "id long",
 }
+#: What a row's bucket comes from; documents and gone have one bucket.
+BUCKET_OF = {"chunks": "document_id", "tags": "document_id", "images": "document_id", "postings": "term"}
+_OWNER = {"documents": "id", "chunks": "document_id", "tags": "document_id", "images": "document_id", "postings": "document_id"}
+#: Results up to this limit are fetched by their ids; longer ones by a join.
+FETCH = 1000
 
 
 class Store:
@@ -32,81 +45,152 @@ class Store:
         self.base = base if "://" in base else "file://" + base
         self.fs, self.root = pafs.FileSystem.from_uri(self.base)
 
+    # manifest and files
+
     def manifest(self) -> dict:
         found = self.fs.get_file_info(pafs.FileSelector(f"{self.root}/manifest", allow_not_found=True))
         names = sorted(f.path for f in found if f.path.endswith(".json"))
         if not names:
-            return {"schema_version": VERSION, "number": 0, "next_document_id": 1, "next_chunk_id": 1, "files": {t: [] for t in SCHEMAS}}
+            return {"schema_version": VERSION, "number": 0, "next_document_id": 1, "next_chunk_id": 1, "buckets": self.config.buckets, "folders": {t: [] for t in SCHEMAS}}
         m = json.loads(self.fs.open_input_stream(names[-1]).readall())
         if m["schema_version"] != VERSION:
             raise ValueError(f"store of version {m['schema_version']}, expected {VERSION}")
         return m
 
-    def table(self, name: str, manifest: dict | None = None) -> DataFrame:
-        files = (manifest or self.manifest())["files"][name]
-        r = self.spark.read.schema(SCHEMAS[name])
-        return r.parquet(*files) if files else self.spark.createDataFrame([], SCHEMAS[name])
-
-    def _write(self, name: str, df: DataFrame, partition: bool = False) -> str:
-        path = f"{self.base}/data/{name}/{uuid.uuid4().hex}"
-        kinds = dict(x.split() for x in SCHEMAS[name].split(", "))
-        df.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()]).write.parquet(path)
-        return path
-
     def _publish(self, m: dict) -> None:
         m = m | {"number": m["number"] + 1}
         self.fs.create_dir(f"{self.root}/manifest", recursive=True)
         path = f"{self.root}/manifest/{m['number']:012d}.json"
-        if self.fs.get_file_info(path).type != pafs.FileType.NotFound:
-            raise RuntimeError("another writer was first")
         draft = f"{path}.{uuid.uuid4().hex}"
         with self.fs.open_output_stream(draft) as out:
             out.write(json.dumps(m).encode())
-        self.fs.move(draft, path)
+        try:
+            if self.base.startswith("file://"):
+                os.link(draft, path)
+                os.unlink(draft)
+            else:
+                jvm = self.spark._jvm
+                at = self.base[: len(self.base) - len(self.root)] if self.base.endswith(self.root) else ""
+                source, target = (jvm.org.apache.hadoop.fs.Path(at + x) for x in (draft, path))
+                conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), conf).rename(source, target, none)
+        except Exception as e:
+            if self.fs.get_file_info(draft).type != pafs.FileType.NotFound:
+                self.fs.delete_file(draft)
+            if self.fs.get_file_info(path).type != pafs.FileType.NotFound:
+                raise RuntimeError("another writer was first") from e
+            raise
+
+    def _bucket(self, name: str, m: dict) -> Column:
+        of = BUCKET_OF.get(name)
+        return F.lit(0) if of is None else F.pmod(F.xxhash64(of) if of == "term" else F.col(of), F.lit(m["buckets"])).cast("int")
+
+    def _write(self, name: str, df: DataFrame, m: dict) -> list[str]:
+        """Folders ``version/bucket`` of the rows."""
+        version = f"version={uuid.uuid4().hex}"
+        kinds = dict(x.split() for x in SCHEMAS[name].split(", "))
+        x = df.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()]).withColumn("bucket", self._bucket(name, m))
+        order = ["term", "chunk_id"] if name == "postings" else [c for c in ("id", "document_id") if c in kinds]
+        if name in BUCKET_OF:
+            x = x.repartition("bucket", F.pmod(F.xxhash64(*order), F.lit(8))) if name in ("chunks", "images", "postings") else x.repartition("bucket")
+        x.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(f"{self.base}/data/{name}/{version}")
+        found = self.fs.get_file_info(pafs.FileSelector(f"{self.root}/data/{name}/{version}"))
+        return sorted(f"{version}/{f.base_name}" for f in found if f.type == pafs.FileType.Directory)
+
+    def _rows(self, name: str, m: dict, buckets: list[int] | None = None) -> DataFrame:
+        folders = m["folders"][name]
+        if buckets is not None:
+            folders = [f for f in folders if int(f.rpartition("=")[2]) in buckets]
+        if not folders:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        base = f"{self.base}/data/{name}"
+        return self.spark.read.schema(SCHEMAS[name]).option("basePath", base).parquet(*[f"{base}/{f}" for f in folders]).select(*[x.split()[0] for x in SCHEMAS[name].split(", ")])
+
+    def table(self, name: str, manifest: dict | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """Live rows."""
+        m = manifest or self.manifest()
+        x = self._rows(name, m, buckets)
+        if name not in _OWNER or not m["folders"]["gone"]:
+            return x
+        return x.join(self._rows("gone", m).select(F.col("id").alias("gone_")), F.col(_OWNER[name]) == F.col("gone_"), "left_anti")
 
-    def save(self, documents: DataFrame, chunks: DataFrame, now: str | None = None) -> DataFrame:
-        """documents (document_key, filename, tags array<string>), chunks (document_key, seg, number, title, content, page_start): adds them, in place of all documents of the same names. Gives document_key, id."""
+    def _of(self, name: str, document_id: int) -> DataFrame:
+        """Live rows of one document, from its bucket."""
         m = self.manifest()
-        now = now or datetime.now().strftime("%Y-%m-%d %H:%M:%S")
-        counts = chunks.groupBy("document_key").agg(F.count("*").cast("int").alias("chunk_count"))
-        w = Window.orderBy("filename", "document_key")  # one row a document: names, no texts
-        keyed = documents.select("document_key", "filename", "tags").join(counts, "document_key", "left")
-        keyed = keyed.select("*", (F.row_number().over(w) + (m["next_document_id"] - 1)).cast("long").alias("id"), (F.coalesce(F.sum("chunk_count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + m["next_chunk_id"]).cast("long").alias("first"))
+        return self.table(name, m, [document_id % m["buckets"]]).where(F.col(_OWNER[name]) == document_id)
+
+    # changes
+
+    def _numbered(self, documents: DataFrame, counts: DataFrame, m: dict) -> tuple[DataFrame, int, int]:
+        """(document_key, filename, tags, chunk_count, id, first chunk id; durable, number of documents, of chunks), ids in order of name and key, by prefix sums over ranges."""
+        order = ["filename", "document_key"]
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        x = documents.select("document_key", "filename", "tags").join(counts, "document_key", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))
         path = f"{self.base}/data/keys/{uuid.uuid4().hex}"
-        keyed.write.parquet(path)  # ids are fixed before anything uses them
-        keyed = self.spark.read.parquet(path)
-        n, c = keyed.agg(F.count("*"), F.coalesce(F.sum("chunk_count"), F.lit(0))).first()
+        x.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).write.parquet(path)  # ids are fixed before anything uses them
+        x = self.spark.read.parquet(path)
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+        sums = x.groupBy("part").agg(F.count("*").alias("n"), F.sum("chunk_count").alias("c"))
+        base = sums.select(F.col("part").alias("part_"), *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(k + "0") for k in "nc"])
+        inside = Window.partitionBy("part").orderBy(*order)
+        x = x.join(base, F.col("part") == F.col("part_"))
+        x = x.select("document_key", "filename", "tags", "chunk_count", (F.col("n0") + F.row_number().over(inside) + (m["next_document_id"] - 1)).cast("long").alias("id"), (F.col("c0") + F.coalesce(F.sum("chunk_count").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + m["next_chunk_id"]).cast("long").alias("first"))
+        n, c = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
+        return x, n, c
+
+    def save(self, documents: DataFrame, chunks: DataFrame, now: str | None = None, images: DataFrame | None = None) -> DataFrame:
+        """documents (document_key, filename, tags array<string>), chunks (document_key, seg, number, title, content, page_start), images (document_key, temp_path, data): adds them, in place of all documents of the same names. Gives document_key, id."""
         from .operators.render import chunk_file
+        from .operators.search import postings
 
+        m = self.manifest()
+        now = now or datetime.now().strftime("%Y-%m-%d %H:%M:%S")
+        path = f"{self.base}/data/keys/{uuid.uuid4().hex}"
+        chunks.select("document_key", "seg", "number", "title", "content", "page_start").write.parquet(path)  # files are read once
+        chunks = self.spark.read.parquet(path)
+        keyed, n, c = self._numbered(documents, chunks.groupBy("document_key").agg(F.count("*").cast("int").alias("chunk_count")), m)
         k = keyed.select(F.col("document_key").alias("k_"), F.col("id").alias("document_id"), "first")
         cw = Window.partitionBy("document_key").orderBy("seg")
         x = chunks.join(k, F.col("document_key") == F.col("k_")).withColumn("id", F.col("first") + F.row_number().over(cw) - 1)
         x = x.select("id", "document_id", F.col("number").alias("section_number"), "title", "content", "page_start", F.concat(F.lit("output/"), F.col("document_id").cast("string"), F.lit("/chunks/"), chunk_file(F.col("id"), F.col("number"), F.col("title"))).alias("file_path"))
-        new = {"chunks": self._write("chunks", x), "documents": self._write("documents", keyed.select("id", "filename", F.lit(now).alias("upload_time"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit("success").alias("status")))}
-        tags = keyed.select(F.col("id").alias("document_id"), F.explode(F.array_distinct(F.filter(F.transform("tags", strip), lambda t: t != ""))).alias("tag"))
-        new["tags"] = self._write("tags", tags)
-        old = self.table("documents", m)
-        gone = old.join(documents.select("filename").distinct(), "filename", "left_semi").select("id")
-        files = self._without(m, gone) if m["files"]["documents"] else {t: [] for t in SCHEMAS}
-        self._publish(m | {"next_document_id": m["next_document_id"] + n, "next_chunk_id": m["next_chunk_id"] + c, "files": {t: files[t] + [new[t]] for t in SCHEMAS}})
+        new = {"chunks": self._write("chunks", x, m)}
+        stored = self._rows("chunks", {"folders": {"chunks": new["chunks"]}})
+        new["documents"] = self._write("documents", keyed.select("id", "filename", F.lit(now).alias("upload_time"), "chunk_count", F.lit("success").alias("status")), m)
+        new["tags"] = self._write("tags", keyed.select(F.col("id").alias("document_id"), F.explode(F.array_distinct(F.filter(F.transform("tags", strip), lambda t: t != ""))).alias("tag")), m)
+        new["postings"] = self._write("postings", postings(stored), m)
+        if images is not None:
+            new["images"] = self._write("images", images.join(k, F.col("document_key") == F.col("k_")).select("document_id", "temp_path", "data"), m)
+        old = self.table("documents", m).join(documents.select("filename").distinct(), "filename", "left_semi").select("id")
+        if m["folders"]["documents"]:
+            new["gone"] = self._write("gone", old, m)
+        self._publish(m | {"next_document_id": m["next_document_id"] + n, "next_chunk_id": m["next_chunk_id"] + c, "folders": {t: m["folders"][t] + new.get(t, []) for t in SCHEMAS}})
+        if new.get("gone"):
+            self._forget(self._rows("gone", {"folders": {"gone": new["gone"]}}))
         return keyed.select("document_key", "id")
 
-    def _without(self, m: dict, ids: DataFrame) -> dict:
-        """Files without the documents of ``ids``; unchanged ones stay if none is there."""
-        ids = ids.select(F.col("id").alias("gone_")).distinct()
-        if ids.isEmpty():
-            return {t: list(f) for t, f in m["files"].items()}
-        key = {"documents": "id", "chunks": "document_id", "tags": "document_id"}
-        return {t: [self._write(t, self.table(t, m).join(ids, F.col(key[t]) == F.col("gone_"), "left_anti"))] for t in SCHEMAS}
+    def _forget(self, ids: DataFrame) -> None:
+        """Removes the rendered trees of documents that are gone and renews the catalog, if one was written."""
+        out = f"{self.base}/output"
+
+        def remove(rows) -> None:
+            fs, root = pafs.FileSystem.from_uri(out)
+            for r in rows:
+                if fs.get_file_info(f"{root}/{r['id']}").type != pafs.FileType.NotFound:
+                    fs.delete_dir(f"{root}/{r['id']}")
+
+        ids.foreachPartition(remove)
+        self._renew_catalog()
 
     def delete(self, document_id: int) -> str | None:
         """The name of the document that was deleted with its chunks and tags; None if there is none."""
         m = self.manifest()
-        row = self.table("documents", m).where(F.col("id") == document_id).select("id", "filename")
-        got = row.first()
+        got = self.table("documents", m).where(F.col("id") == document_id).select("filename").first()
         if got is None:
             return None
-        self._publish(m | {"files": self._without(m, row)})
+        gone = self.spark.createDataFrame([(document_id,)], SCHEMAS["gone"])
+        self._publish(m | {"folders": m["folders"] | {"gone": m["folders"]["gone"] + self._write("gone", gone, m)}})
+        self._forget(gone)
         return got["filename"]
 
     def set_tags(self, document_id: int, tags: list[str]) -> None:
@@ -114,9 +198,31 @@ class Store:
         if self.table("documents", m).where(F.col("id") == document_id).isEmpty():
             raise KeyError(f"no document {document_id}")
         clean = sorted({t.strip() for t in tags} - {""})
-        rest = self.table("tags", m).where(F.col("document_id") != document_id)
+        bucket = document_id % m["buckets"]
+        rest = self.table("tags", m, [bucket]).where(F.col("document_id") != document_id)
         own = self.spark.createDataFrame([(document_id, t) for t in clean], SCHEMAS["tags"])
-        self._publish(m | {"files": m["files"] | {"tags": [self._write("tags", rest.unionByName(own))]}})
+        kept = [f for f in m["folders"]["tags"] if int(f.rpartition("=")[2]) != bucket]
+        self._publish(m | {"folders": m["folders"] | {"tags": kept + self._write("tags", rest.unionByName(own), m)}})
+        self._renew_catalog()
+
+    def compact(self) -> None:
+        """Rewrites the live rows of all tables into one version each; older folders are no longer read."""
+        m = self.manifest()
+        self._publish(m | {"folders": {t: [] if t == "gone" else self._write(t, self.table(t, m), m) if m["folders"][t] else [] for t in SCHEMAS}})
+
+    def rebuild_index(self) -> None:
+        """Makes the postings anew from the live chunks."""
+        from .operators.search import postings
+
+        m = self.manifest()
+        self._publish(m | {"folders": m["folders"] | {"postings": self._write("postings", postings(self.table("chunks", m)), m)}})
+
+    def index_counts(self) -> dict[str, int]:
+        """Rows of the index and of the chunks it covers."""
+        p, c = self.table("postings").agg(F.count("*"), F.count_distinct("chunk_id")).first()
+        return {"postings": p, "indexed_chunks": c, "chunks": self.table("chunks").count()}
+
+    # questions
 
     def documents(self) -> DataFrame:
         return self.table("documents").orderBy(F.desc("upload_time"), F.desc("id"))
@@ -124,52 +230,101 @@ class Store:
     def toc(self, document_id: int) -> DataFrame:
         from .operators.render import toc
 
-        return toc(self.table("chunks").where(F.col("document_id") == document_id)).orderBy("place")
+        return toc(self._of("chunks", document_id)).orderBy("place")
 
     def chunk(self, chunk_id: int) -> DataFrame:
-        d = self.table("documents").select(F.col("id").alias("d_"), F.col("filename").alias("document_name"), "upload_time")
+        d = self.table("documents").select(F.col("id").alias("d_"), F.col("filename").alias("document_name"))
         return self.table("chunks").where(F.col("id") == chunk_id).join(d, F.col("document_id") == F.col("d_")).drop("d_")
 
     def tags(self, document_id: int) -> DataFrame:
-        return self.table("tags").where(F.col("document_id") == document_id).select("tag").orderBy("tag")
+        return self._of("tags", document_id).select("tag").orderBy("tag")
 
-    def search(self, query: str, document_id: int | None = None, **how) -> DataFrame:
-        from .operators.search import search
+    def search(self, query: str, document_id: int | None = None, limit: int | None = None, mode: str = "tokens", tokenize: bool = False) -> DataFrame:
+        """RESULT of operators.search, from the stored index; ``mode='like'`` reads the chunks."""
+        from .operators import search as S
 
-        return search(self.table("chunks"), self.table("documents"), query, document_id, how.pop("limit", self.config.search_limit), **how)
+        limit = max(1, int(self.config.search_limit if limit is None else limit))
+        m = self.manifest()
+        docs = self.table("documents", m)
+        own = None if document_id is None else [document_id % m["buckets"]]
+        if mode == "like":
+            return S.search(self.table("chunks", m, own), docs, query, document_id, limit, mode).drop("upload_time")
+        words = S.keywords(query, tokenize)
+        if not words:
+            return S.search(self.table("chunks", m, []), docs, query).drop("upload_time")
+        if m["folders"]["chunks"] and not m["folders"]["postings"]:
+            self.rebuild_index()
+            m = self.manifest()
+        phrases = self.spark.range(1).select(F.array(*[tokens(F.lit(w)) for w in words])).first()[0]
+        terms = sorted({t for p in phrases for t in p})
+        where = sorted({r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(self._bucket("postings", m)).collect()}) if terms else []
+        index = self.table("postings", m, where)
+        if document_id is not None:
+            index = index.where(F.col("document_id") == document_id)
+        hits = S.find_phrases(index, phrases)
+        d = docs.select(F.col("id").alias("d_"), F.col("filename").alias("document_name"), "upload_time")
+        order = [F.desc("upload_time"), F.asc("section_number"), F.asc("id")]
+        hits = hits.join(d, F.col("document_id") == F.col("d_")).select(F.col("chunk_id").alias("id"), "document_id", "section_number", "document_name", "upload_time").orderBy(*order).limit(limit)
+        x = self.table("chunks", m, own)
+        if limit <= FETCH:
+            got = hits.collect()  # no more than the limit
+            x = self.table("chunks", m, sorted({r["document_id"] % m["buckets"] for r in got})).where(F.col("id").isin([r["id"] for r in got]))
+            hits = self.spark.createDataFrame(got, hits.schema)
+        names = hits.select(F.col("id").alias("i_"), "document_name", "upload_time")
+        x = x.join(names, F.col("id") == F.col("i_")).orderBy(*order)
+        return x.withColumn("snippet", S.snippet(F.col("content"), " ".join(words))).select(*S.RESULT)
 
-    def render(self) -> None:
-        """Writes chunk, toc and index files under ``output/<document id>`` and the catalog, by tasks."""
-        from .operators import render
+    # files
 
-        chunks, documents = self.table("chunks"), self.table("documents")
+    def _put(self, df: DataFrame, path: str, value: str) -> None:
         out = f"{self.base}/output"
 
-        def put(path_column: str, text_column: str):
-            def run(rows) -> None:
-                fs, root = pafs.FileSystem.from_uri(out)
-                for r in rows:
-                    path = f"{root}/{r[path_column]}"
-                    fs.create_dir(path.rpartition("/")[0], recursive=True)
-                    with fs.open_output_stream(path, compression=None) as f:
-                        f.write(r[text_column].encode())
+        def run(rows) -> None:
+            fs, root = pafs.FileSystem.from_uri(out)
+            for r in rows:
+                at = f"{root}/{r[path]}"
+                fs.create_dir(at.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(at, compression=None) as f:
+                    f.write(r[value].encode() if isinstance(r[value], str) else bytes(r[value]))
 
-            return run
+        df.foreachPartition(run)
 
+    def render(self) -> None:
+        """Writes chunk, toc, index and picture files under ``output/<document id>`` and the catalog, by tasks."""
+        from .operators import render
+
+        m = self.manifest()
+        documents, pictures = self.table("documents", m), self.table("images", m)
+        chunks = render.with_images(self.table("chunks", m), pictures)
         d = F.col("document_id").cast("string")
-        for df in (
-            render.chunk_markdown(chunks, documents, self.config.locale).select(F.concat(d, F.lit("/chunks/"), "file").alias("p"), F.col("markdown").alias("t")),
-            render.toc_json(chunks).select(F.concat(d, F.lit("/toc.json")).alias("p"), F.col("toc").alias("t")),
-            render.index_page(chunks, self.config.locale).select(F.concat(d, F.lit("/index.md")).alias("p"), F.col("page").alias("t")),
-        ):
-            df.foreachPartition(put("p", "t"))
+        self._put(render.chunk_markdown(chunks, documents, self.config.locale).select(F.concat(d, F.lit("/chunks/"), "file").alias("p"), F.col("markdown").alias("t")), "p", "t")
+        self._put(render.toc_json(chunks).select(F.concat(d, F.lit("/toc.json")).alias("p"), F.col("toc").alias("t")), "p", "t")
+        self._put(render.index_page(chunks, self.config.locale).select(F.concat(d, F.lit("/index.md")).alias("p"), F.col("page").alias("t")), "p", "t")
+        self._put(render.image_files(chunks, pictures).select(F.concat(d, F.lit("/"), "rel_path").alias("p"), F.col("data").alias("t")), "p", "t")
+        self.write_catalog()
+
+    def _catalog_path(self) -> str:
+        return f"{self.root}/output/global_catalog.md"
+
+    def _renew_catalog(self) -> None:
+        if self.fs.get_file_info(self._catalog_path()).type != pafs.FileType.NotFound:
+            self.write_catalog()
+
+    def write_catalog(self) -> None:
+        """``output/global_catalog.md``, line by line as the sorted rows come."""
+        from .operators import render
+
         t = self.config.labels()
-        parts = render.catalog_page(documents, self.table("tags"), self.config.locale).orderBy("place").toLocalIterator()
-        with self.fs.open_output_stream(f"{self.root}/global_catalog.md") as f:
-            f.write((t["catalog"] + "\n\n").encode())
-            wrote = False
-            for r in parts:
-                wrote = True
-                f.write(f"{r['heading']}\n\n{r['body']}\n".encode())
-            if not wrote:
-                f.write((t["empty"] + "\n").encode())
+        m = self.manifest()
+        lines = render.catalog_lines(self.table("documents", m), self.table("tags", m), self.config.locale).toLocalIterator()
+        self.fs.create_dir(f"{self.root}/output", recursive=True)
+        with self.fs.open_output_stream(self._catalog_path()) as f:
+            f.write((t["catalog"] + "\n").encode())
+            heading = None
+            for r in lines:
+                if r["heading"] != heading:
+                    heading = r["heading"]
+                    f.write(f"\n{heading}\n\n".encode())
+                f.write(r["line"].encode())
+            if heading is None:
+                f.write(("\n" + t["empty"] + "\n").encode())
