@@ -166,9 +166,9 @@ def test_gif_frames_edge_rows(spark):
 
 def test_gif_frames_come_one_by_one():
     px = np.zeros((300, 300), np.uint8)
-    data = gif.encode(300, 300, np.zeros((2, 3)), [{"pixels": px}] * 500)
+    data = gif.encode(300, 300, np.zeros((2, 3)), [{"pixels": px}] * 60)
     stream = gif.decode_frames(data)
-    assert next(stream)["n_frames"] == 500 and sum(1 for _ in stream) == 499
+    assert next(stream)["n_frames"] == 60 and sum(1 for _ in stream) == 59
 
 
 def test_chat_visitor():
@@ -336,7 +336,7 @@ def test_quality_metrics_against_plain_loops(spark):
     rng = np.random.default_rng(8)
     bits = ["a", "B", " ", " ", "\n", "\t", "\r", "é", "É", "漢", "Ж", "１", "½", "\U0001f600", "\U00010400", "|", "-", "\u00a0", "\0", "the ", "the\n"]
     texts = ["".join(rng.choice(bits, rng.integers(0, 60))) for _ in range(400)] + [None, "", " \n", "word " * 300_000, "é", "a\na\na", "| | | a"]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).select("doc_id", quality.metrics("text").alias("m")).collect()
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).select("doc_id", quality.metrics(F.col("text")).alias("m")).collect()
     got = {r["doc_id"]: r["m"] and r["m"].asDict() for r in rows}
     for i, t in enumerate(texts):
         assert got[i] == slow_metrics(t), t
