@@ -7,17 +7,19 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = "[\\s\\x1c-\\x1f]+"
+#: What Unicode calls white space, and the four separators that strip takes too. Trimming sets of characters looks at a string's ends only.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_SPACE = _WHITE + "\x1c\x1d\x1e\x1f"
 _FOLD = {chr(c): d[0] for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(c).lower())) > 1 and d[0].isascii() and chr(c) == chr(c).lower()}
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)^{_SPACE}|{_SPACE}$", "")
+    return F.btrim(c, F.lit(_SPACE))
 
 
 def trim_marks(c: Column) -> Column:
     """White space, asterisks, underscores and hashes at both ends."""
-    return F.regexp_replace(c, "(?U)^[*_#\\s]+|[*_#\\s]+$", "")
+    return F.btrim(c, F.lit(_WHITE + "*_#"))
 
 
 def split_lines(c: Column) -> Column:
