@@ -180,7 +180,15 @@ def _(s, d):
 _KEY = "list_transform(string_split(section_number, '.'), lambda p: lpad(p, 12, '0'))"
 
 
-@query("toc_natural_order", f"WITH RECURSIVE {_CHUNKS} SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY {_KEY}, id) AS place, id, section_number, title, page_start FROM chunks")
+_FILE = "regexp_replace(translate({0}, ' *#\\/?:\"<>|', '_'), '[\\x00-\\x1f]', '', 'g')"
+_SAFE = "CASE WHEN strlen({0}) > 180 THEN substr({0}, 1, 45) ELSE {0} END"
+
+
+def _sql_file() -> str:
+    return "id || '_' || " + _SAFE.format(_FILE.format("section_number")) + " || '_' || " + _SAFE.format(_FILE.format("title")) + " || '.md'"
+
+
+@query("toc_natural_order", f"WITH RECURSIVE {_CHUNKS} SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY {_KEY}, id) AS place, id, section_number, title, page_start, 'output/' || document_id || '/chunks/' || {_sql_file()} AS file_path FROM chunks")
 def _(s, d):
     return render.toc(stored_chunks(s, d)).withColumn("place", F.col("place").cast("long"))
 
@@ -271,14 +279,6 @@ def _(s, d):
     return docs.join(new.select("filename"), "filename", "left_anti").select("id", "filename").unionByName(new)
 
 
-_FILE = "regexp_replace(translate({0}, ' *#\\/?:\"<>|', '_'), '[\\x00-\\x1f]', '', 'g')"
-_SAFE = "CASE WHEN strlen({0}) > 180 THEN substr({0}, 1, 45) ELSE {0} END"
-
-
-def _sql_file() -> str:
-    return "id || '_' || " + _SAFE.format(_FILE.format("section_number")) + " || '_' || " + _SAFE.format(_FILE.format("title")) + " || '.md'"
-
-
 @query("file_paths", f"WITH RECURSIVE {_CHUNKS} SELECT id, 'output/' || document_id || '/chunks/' || {_sql_file()} AS file_path FROM chunks")
 def _(s, d):
     return stored_chunks(s, d).select("id", "file_path")
