@@ -248,15 +248,16 @@ def decode_frames(b: bytes | None) -> Iterator[dict]:
                     region[:] = new
                 else:
                     np.copyto(region, new, where=show[: y1 - y, : x1 - x])
-        total = total - _bins(before) + _bins(region)
+        drawn = _bins(region)
+        total = total + drawn if n == 0 else total - _bins(before) + drawn  # the canvas starts blank
         if n == len(images) - 1 and problem and error is None:
             error = problem
         yield common | {"n_frames": len(images), "frame": n, "left": x, "top": y, "width": fw, "height": fh, "start_cs": clock, "delay_cs": im.delay, "disposal": im.disposal, "transparent": im.clear >= 0, "interlaced": bool(im.flags & 0x40), "visible": int(total.sum()), "histogram": total.tolist(), "rgba": canvas.astype("<u4", copy=False).tobytes(), "error": error}
         clock += im.delay
         if im.disposal in (2, 3):
-            total = total - _bins(region)
+            total = total - drawn
             region[:] = before if im.disposal == 3 else 0
-            total = total + _bins(region)
+            total = total + _bins(before) if im.disposal == 3 else total
 
 
 def decode(b: bytes | None) -> list[dict]:
@@ -293,8 +294,8 @@ def frames(df: DataFrame, id_column: str, gif_column: str) -> DataFrame:
 
 def lzw_encode(pixels: bytes, min_size: int) -> bytes:
     clear, end, first = 1 << min_size, (1 << min_size) + 1, (1 << min_size) + 2 << 8
-    runs: list[list[int]] = [[clear << 8]]
-    codes: list[int] = []
+    codes: list[int] = [clear << 8]
+    lengths, begun = [1], 1
     table: dict[int, int] = {}  # (code, next pixel) -> code; codes are kept shifted by 8 bits
     get, put, nxt, literal = table.get, codes.append, first, [c << 8 for c in range(256)]
     w = literal[pixels[0]] if pixels else -1
@@ -308,15 +309,17 @@ def lzw_encode(pixels: bytes, min_size: int) -> bytes:
         nxt += 256
         w = literal[c]
         if nxt > 4095 << 8:
-            runs.append([*codes, clear << 8])
-            codes.clear()
+            put(clear << 8)
+            lengths.append(len(codes) - begun)
+            begun = len(codes)
             table.clear()
             nxt = first
     if w >= 0:
-        codes.append(w)
-    runs.append([*codes, end << 8])
-    flat = (np.array([c for r in runs for c in r], np.uint32) >> 8).astype(np.uint16)
-    width = np.concatenate([_schedule(min_size, len(r))[1] for r in runs])
+        put(w)
+    put(end << 8)
+    lengths.append(len(codes) - begun)
+    flat = (np.array(codes, np.uint32) >> 8).astype(np.uint16)
+    width = np.concatenate([_schedule(min_size, n)[1] for n in lengths])
     bits = np.unpackbits(flat.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
     return np.packbits(bits[np.arange(16)[None, :] < width[:, None]], bitorder="little").tobytes()
 
