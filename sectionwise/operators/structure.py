@@ -78,9 +78,10 @@ def headings(lines: DataFrame, bad_keywords: tuple[str, ...] | None = None) -> D
     return x.withColumn("is_heading", ok)
 
 
-def chunks(lines: DataFrame, documents: DataFrame | None = None, bad_keywords: tuple[str, ...] | None = None) -> DataFrame:
-    """document_key, seg, number, title, content, page_start. ``documents`` (document_key) gives lineless ones their empty chunk."""
-    x = headings(lines, bad_keywords)
+def chunks(lines: DataFrame, documents: DataFrame | None = None, bad_keywords: tuple[str, ...] | None = None, headed: bool = True) -> DataFrame:
+    """document_key, seg, number, title, content, page_start. ``documents`` (document_key) gives lineless ones their empty chunk. If not ``headed``, no line is a heading, whatever it looks like."""
+    none = F.lit(None).cast("string")
+    x = headings(lines, bad_keywords) if headed else lines.withColumns({"is_heading": F.lit(False), "number": none, "title": none})
     w = Window.partitionBy("document_key").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("seg", F.sum(F.col("is_heading").cast("int")).over(w))
     head = F.col("is_heading")
