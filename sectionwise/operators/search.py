@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
+#: Tokens after which a segment of the index is closed, and bytes of it that are read at once.
+SEGMENT, READ = 2_000_000, 4_000_000
+PACKED = "term string, numbers binary, sections binary"
+POSTINGS = "term string, chunk_id long, document_id long, section_number string, col string, positions array<int>"
 RESULT = ("id", "document_id", "section_number", "title", "page_start", "file_path", "document_name", "snippet")
 
 
@@ -83,6 +89,173 @@ def postings(chunks: DataFrame) -> DataFrame:
     return x.groupBy("term", "chunk_id", "document_id", "section_number", "col").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    """Where each run of a size begins, and the end of the last."""
+    return np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... anew in each run."""
+    return np.arange(sizes.sum()) - np.repeat(_starts(sizes)[:-1], sizes)
+
+
+def _gaps(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Differences to the value before; the value itself where a run starts."""
+    out = np.diff(x, prepend=0)
+    out[starts] = x[starts]
+    return out
+
+
+def _sums(gaps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    total = _starts(gaps)
+    return total[1:] - np.repeat(total[_starts(sizes)[:-1]], sizes)
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary or string column, and where its rows start and end."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return data, at - at[0]
+
+
+def _binary(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _to_varints(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seven bits a byte, the last below 128; and where each number starts."""
+    x = x.astype(np.uint64)
+    size = np.ones(len(x), np.int64)
+    for k in range(1, 10):
+        size += x >= np.uint64(1 << 7 * k)
+    at = _starts(size)
+    out = np.empty(at[-1], np.uint8)
+    for k in range(int(size.max(initial=0))):
+        has = np.flatnonzero(size > k)
+        out[at[has] + k] = (x[has] >> np.uint64(7 * k)) & np.uint64(127) | np.where(size[has] > k + 1, np.uint64(128), np.uint64(0))
+    return out, at
+
+
+def _from_varints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and where each ends."""
+    ends = np.flatnonzero(data < 128)
+    starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+    out = np.zeros(len(ends), np.uint64)
+    for k in range(int((ends - starts).max(initial=-1)) + 1):
+        has = np.flatnonzero(ends - starts >= k)
+        out[has] |= (data[starts[has] + k].astype(np.uint64) & np.uint64(127)) << np.uint64(7 * k)
+    return out.astype(np.int64), ends
+
+
+def pack_segment(chunks: pa.Table) -> pa.RecordBatch | None:
+    """PACKED rows of chunks (id, document_id, section_number, and the terms of title and content). Of a term: the number of postings; gaps of chunk
+    ids; gaps of document ids, signed; twice the number of positions, and 1 for content; gaps of positions. Sections end with 0xff, which UTF-8 hasn't; 0xfe is null."""
+    chunks = chunks.sort_by("id").combine_chunks()
+    ids, owners = (chunks[c].to_numpy().astype(np.int64) for c in ("id", "document_id"))
+    # units: title and content of each chunk in turn
+    lists = [chunks[c].combine_chunks() for c in ("title", "content")]
+    lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
+    sizes = [np.asarray(x.value_lengths().fill_null(0)).astype(np.int64) for x in lists]
+    code = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+    unit = np.concatenate([np.repeat(2 * np.arange(len(ids)) + k, n) for k, n in enumerate(sizes)])
+    position = np.concatenate([_within(n) for n in sizes])
+    codes = np.asarray(code.indices).astype(np.int64)
+    if not len(codes):
+        return None
+    order = np.lexsort((unit, codes))  # stable, so positions stay in order
+    codes, unit, position = codes[order], unit[order], position[order]
+    first = np.flatnonzero(np.concatenate(([True], (codes[1:] != codes[:-1]) | (unit[1:] != unit[:-1]))))  # of each posting
+    many = np.diff(first, append=len(codes))
+    owner = codes[first]
+    head = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))  # of each term
+    n = np.diff(head, append=len(first))
+    tokens_of = np.add.reduceat(many, head)
+    at = _starts(1 + 3 * n + tokens_of)
+    numbers = np.empty(at[-1], np.int64)
+    numbers[at[:-1]] = n
+    k = np.repeat(at[:-1] + 1, n) + _within(n)
+    width = np.repeat(n, n)
+    chunk = unit[first] >> 1
+    numbers[k] = _gaps(ids[chunk], head)
+    signed = _gaps(owners[chunk], head)
+    numbers[k + width] = np.where(signed < 0, -2 * signed - 1, 2 * signed)
+    numbers[k + 2 * width] = 2 * many + (unit[first] & 1)
+    numbers[np.repeat(at[:-1] + 1 + 3 * n, tokens_of) + _within(tokens_of)] = _gaps(position, first)
+    data, ends = _to_varints(numbers)
+    said = pa.array([b"\xfe\xff" if x is None else x.encode() + b"\xff" for x in chunks["section_number"].to_pylist()], pa.binary()).take(pa.array(chunk))
+    letters, places = _bytes_of(said)
+    return pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(owner[head])), _binary(data, ends[at]), _binary(letters, places[np.append(head, len(first))])], ["term", "numbers", "sections"])
+
+
+def unpack_rows(term: pa.Array, packed: pa.Array, sections: pa.Array) -> pa.RecordBatch:
+    """POSTINGS of PACKED rows."""
+    data, begins = _bytes_of(packed)
+    x, ends = _from_varints(data)
+    at = np.searchsorted(ends, begins[:-1])
+    n = x[at]
+    k = np.repeat(at + 1, n) + _within(n)
+    width = np.repeat(n, n)
+    signed = x[k + width]
+    kind = x[k + 2 * width]
+    many = kind >> 1
+    tokens_of = np.diff(_starts(many)[_starts(n)])
+    position = _sums(x[np.repeat(at + 1 + 3 * n, tokens_of) + _within(tokens_of)], many)
+    letters, _ = _bytes_of(sections)
+    stop = np.flatnonzero(letters == 255)
+    cut = np.concatenate(([0], stop - np.arange(len(stop)))).astype(np.int32)
+    said = _binary(letters[letters != 255], cut)
+    said = pa.array([None if s == b"\xfe" else s.decode() for s in said.to_pylist()], pa.string()) if (letters == 254).any() else said.cast(pa.string())
+    columns = [term.take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(_sums(x[k], n)), pa.array(_sums(np.where(signed & 1, -(signed + 1) // 2, signed // 2), n)), said, pa.array(["title", "content"]).take(pa.array(kind & 1))]
+    columns.append(pa.ListArray.from_arrays(pa.array(_starts(many).astype(np.int32)), pa.array(position.astype(np.int32))))
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in POSTINGS.split(", ")])
+
+
+def pack(chunks: DataFrame) -> DataFrame:
+    """PACKED: the rows of ``postings``, those of a term together in each segment of some millions of tokens. Segments are made where the chunks lie, without a shuffle."""
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += sum(len(b.column(c).flatten()) for c in ("title", "content"))
+            if n >= SEGMENT:
+                yield pack_segment(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield pack_segment(pa.Table.from_batches(held))
+
+    return chunks.select(F.col("id").cast("long"), F.col("document_id").cast("long"), "section_number", *[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")).alias(c) for c in ("title", "content")]).mapInArrow(run, PACKED)
+
+
+def unpack(packed: DataFrame) -> DataFrame:
+    """POSTINGS of PACKED rows, some megabytes at a time."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part = _bytes_of(b.column("numbers"))[1][:-1] // READ
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), b.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                x = b.slice(i, j - i)
+                yield unpack_rows(*(x.column(c) for c in ("term", "numbers", "sections")))
+
+    return packed.select("term", "numbers", "sections").mapInArrow(run, POSTINGS)
+
+
+def tally(packed: DataFrame) -> DataFrame:
+    """chunk_id, document_id, n: postings of each chunk, a row a chunk and part of a segment."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = unpack_rows(b.column("term"), b.column("numbers"), b.column("sections"))
+                at, first, n = np.unique(x["chunk_id"].to_numpy(), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at), x["document_id"].take(pa.array(first)), pa.array(n)], ["chunk_id", "document_id", "n"])
+
+    return packed.select("term", "numbers", "sections").mapInArrow(run, "chunk_id long, document_id long, n long")
+
+
 def find_phrases(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
     """chunk_id, document_id, section_number of the chunks that have all phrases, each within one column. A phrase without terms is nowhere."""
     if not all(phrases):
