@@ -73,7 +73,8 @@ def number_sections(classified: DataFrame) -> DataFrame:
 def headings(lines: DataFrame, bad_keywords: tuple[str, ...] | None = None) -> DataFrame:
     """All lines with event, number, title and is_heading."""
     keys = EngineConfig().bad_keywords if bad_keywords is None else bad_keywords
-    x = number_sections(classify(lines, keys))
+    # classified after the shuffle, which so carries each line once, without its title, number and event
+    x = number_sections(classify(lines.repartition("document_key"), keys))
     ok = (F.col("event") == "SYNC") | ((F.col("event") == "GEN") & F.coalesce(valid_heading(F.col("number"), F.col("title"), keys), F.lit(False)))
     return x.withColumn("is_heading", ok)
 
@@ -81,9 +82,17 @@ def headings(lines: DataFrame, bad_keywords: tuple[str, ...] | None = None) -> D
 def chunks(lines: DataFrame, documents: DataFrame | None = None, bad_keywords: tuple[str, ...] | None = None, headed: bool = True) -> DataFrame:
     """document_key, seg, number, title, content, page_start. ``documents`` (document_key) gives lineless ones their empty chunk. If not ``headed``, no line is a heading, whatever it looks like."""
     none = F.lit(None).cast("string")
+    if documents is not None:
+        # a row without a number before the lines of each document; it stays where it is the only one
+        kind = lines.schema
+        bare = documents.select("document_key").distinct()
+        lines = lines.select("document_key", "line_no", "page", "line").unionByName(bare.select("document_key", *[F.lit(None).cast(kind[c].dataType).alias(c) for c in ("line_no", "page", "line")]))
     x = headings(lines, bad_keywords) if headed else lines.withColumns({"is_heading": F.lit(False), "number": none, "title": none})
     w = Window.partitionBy("document_key").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("seg", F.sum(F.col("is_heading").cast("int")).over(w))
+    if documents is not None:
+        after = F.lead(F.lit(True)).over(Window.partitionBy("document_key").orderBy("line_no"))
+        x = x.withColumn("__last", after.isNull()).where(F.col("line_no").isNotNull() | F.col("__last")).drop("__last")
     head = F.col("is_heading")
     body = F.collect_list(F.when(~head, F.struct("line_no", "line")))
     x = x.groupBy("document_key", "seg").agg(
@@ -92,11 +101,7 @@ def chunks(lines: DataFrame, documents: DataFrame | None = None, bad_keywords: t
         strip(F.array_join(F.transform(F.array_sort(body), lambda s: s["line"]), "\n")).alias("content"),
         F.coalesce(F.max(F.when(head, F.col("page"))), F.lit(1)).cast("int").alias("page_start"),
     )
-    x = x.withColumn("seg", F.col("seg").cast("int"))
-    if documents is not None:
-        bare = documents.select("document_key").distinct().join(lines.select(F.col("document_key").alias("k_")).distinct(), F.col("document_key") == F.col("k_"), "left_anti")
-        x = x.unionByName(bare.select("document_key", F.lit(0).alias("seg"), F.lit("0").alias("number"), F.lit("Introduction").alias("title"), F.lit("").alias("content"), F.lit(1).alias("page_start")))
-    return x
+    return x.withColumn("seg", F.col("seg").cast("int"))
 
 
 def merge_split_headings(lines: DataFrame) -> DataFrame:

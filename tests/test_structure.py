@@ -49,3 +49,15 @@ def test_chunks_of_empty_documents(spark):
     lines = spark.createDataFrame([("a", 0, 1, "  "), ("a", 1, 2, "# One"), ("a", 2, 2, "x"), ("a", 3, 3, "y")], LINES)
     got = sorted((r["document_key"], r["number"], r["title"], r["content"], r["page_start"]) for r in structure.chunks(lines, docs).collect())
     assert got == [("a", "0", "Introduction", "", 1), ("a", "1", "One", "x\ny", 2), ("b", "0", "Introduction", "", 1)]
+
+
+def test_chunks_read_the_lines_once(spark):
+    """Also to find the documents without any, of which one may be named twice; before, a second scan looked for them."""
+    docs = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "document_key string")
+    lines = spark.createDataFrame([("a", 0, 1, "# One"), ("c", 0, 1, "x"), ("c", 1, 1, "2 Two"), ("z", 4, 1, "y")], LINES)
+    for headed in (True, False):
+        x = structure.chunks(lines, docs, headed=headed)
+        got = sorted((r["document_key"], r["seg"], r["number"], r["content"]) for r in x.collect())
+        split = [("a", 1, "1", ""), ("b", 0, "0", ""), ("c", 0, "0", "x"), ("c", 1, "2", ""), ("z", 0, "0", "y")]
+        assert got == (split if headed else [("a", 0, "0", "# One"), ("b", 0, "0", ""), ("c", 0, "0", "x\n2 Two"), ("z", 0, "0", "y")])
+        assert "Join" not in x._jdf.queryExecution().optimizedPlan().toString()
